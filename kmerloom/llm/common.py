@@ -68,3 +68,47 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     done = hot.filter(F.col(size).isNotNull())
     rest = hot.filter(F.col(size).isNull()).drop(*extra)
     return done.unionByName(rest.join(groups.filter(F.col(size) <= limit), key))
+
+
+#: Text bytes that a Python worker turns into objects at once.
+SLICE_BYTES = 4_000_000
+
+
+def sliced(batches, text: str = "text", most: int = SLICE_BYTES):
+    """Record batches cut into runs of rows with about `most` bytes of text (a longer text is alone)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes.astype(np.int64)) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield batch.slice(a, b - a)
+
+
+def map_texts(df: DataFrame, per_slice, schema: str) -> DataFrame:
+    """mapInArrow over slices: per_slice(record batch) gives a dict of columns, in the order of schema.
+
+    per_slice may be a class: then it is called once per task, and what it gives once per slice.
+    """
+    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    columns = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        import pyarrow as pa
+
+        f = per_slice() if isinstance(per_slice, type) else per_slice
+        for part in sliced(batches):
+            yield pa.RecordBatch.from_pydict(f(part), schema=columns)
+
+    return df.mapInArrow(run, schema)
+
+
+def is_held_out(fold: int, rest: int, id_col: str = "doc_id") -> Column:
+    """Whether crc32 of the id as text leaves `rest` modulo `fold`; a null id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(fold)) == rest

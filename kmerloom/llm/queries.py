@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import audio, bpe, exact_dedup, langid, mixing, sharding, toxicity
 
 
 def queries() -> dict:
-    found = [mixing.op3_pareto_mixing, exact_dedup.op4_exact_dedup, sharding.op5_stratified_shards]
+    found = [
+        audio.op1_audio_features,
+        mixing.op3_pareto_mixing,
+        exact_dedup.op4_exact_dedup,
+        sharding.op5_stratified_shards,
+        bpe.op7_bpe_codec,
+        toxicity.op8_counterfactual_toxicity,
+        langid.op10_language_masks,
+    ]
     return {f.__name__: f for f in found}
 
 
