@@ -25,7 +25,7 @@ TRAIN_DOCS = 40_000
 FEATURES = 2048
 #: A word needs this many toxic and labelled documents.
 LEAST_DOCS = 5
-RIDGE, FAIRNESS, STEPS = 1.0, 10.0, 300
+RIDGE, FAIRNESS, STEPS = 0.02, 10.0, 300
 FOLD, HELD_OUT = 5, 0
 
 #: Identity terms by kind; a counterfactual swaps terms within a kind.
