@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, exact_dedup, langid, mixing, sharding, toxicity
+from . import audio, bpe, exact_dedup, jaccard, langid, mixing, recompression, sharding, toxicity
 
 
 def queries() -> dict:
@@ -11,8 +11,10 @@ def queries() -> dict:
         mixing.op3_pareto_mixing,
         exact_dedup.op4_exact_dedup,
         sharding.op5_stratified_shards,
+        recompression.op6_substring_dedup,
         bpe.op7_bpe_codec,
         toxicity.op8_counterfactual_toxicity,
+        jaccard.op9_signature_tree_join,
         langid.op10_language_masks,
     ]
     return {f.__name__: f for f in found}
