@@ -29,6 +29,8 @@ from .jaccard import WordHasher, mixed
 WINDOW = 50
 #: Symbols of FROZEN words or more form no pairs; ROUNDS of naming.
 FROZEN, ROUNDS = 10, 8
+#: Rounds that also name runs: of words, and of pairs of pairs. Equal neighbours toss equal coins and form no pairs.
+RUN_ROUNDS = (0, 2)
 FAR = 1 << 40
 
 _PAIR, _NEXT, _RUN, _COIN, _ORDER, _WINDOW = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F))
@@ -59,18 +61,20 @@ class Symbols:
         self.low[at[~inside]], self.high[at[~inside]] = -FAR, FAR
 
     def name_runs(self) -> None:
-        same = (self.name[1:] == self.name[:-1]) & ~self.barrier[1:] & ~self.barrier[:-1]
-        if not same.any():
-            return
+        free = ~self.barrier & (self.end - self.start < FROZEN)
+        same = (self.name[1:] == self.name[:-1]) & free[1:] & free[:-1]
         first = np.flatnonzero(np.append(True, ~same))
         count = np.diff(np.append(first, len(self.name)))
         name = self.name[first]
         runs = count > 1
         name[runs] = mixed(name[runs] * _RUN + count[runs].astype(np.uint64))
+        # where a run ends, or that there is none, is decided by the next symbols as they were
+        at, low, high, n = np.flatnonzero(free[first]), self.low, self.high, len(self.name)
+        before, after = first[at] - 1, first[at] + count[at]
         self._keep(first, name)
-        low, high, at = self.low.copy(), self.high.copy(), np.flatnonzero(runs)
-        self._widen(at, -1, low, high)
-        self._widen(at, 1, low, high)
+        for other, inside in ((before, before >= 0), (after, after < n)):
+            self.low[at] = np.minimum(self.low[at], np.where(inside, low[other % n], -FAR))
+            self.high[at] = np.maximum(self.high[at], np.where(inside, high[other % n], FAR))
 
     def name_pairs(self, turn: int) -> None:
         coin = mixed(self.name + np.uint64(int(_COIN) * (2 * turn + 1) % (1 << 64))) & np.uint64(1)
@@ -90,7 +94,8 @@ class Symbols:
 
     def compressed(self, rounds: int = ROUNDS) -> "Symbols":
         for turn in range(rounds):
-            self.name_runs()
+            if turn in RUN_ROUNDS:
+                self.name_runs()
             self.name_pairs(turn)
         return self
 
