@@ -19,11 +19,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write df to the folder in spark.checkpoint.dir and read it from there: short lineage that outlives executors."""
-    sc = df.sparkSession.sparkContext
+def ensure_checkpoint_dir(sc) -> None:
+    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kmerloom-checkpoint-"))
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Write df to the folder in spark.checkpoint.dir and read it from there: short lineage that outlives executors."""
+    ensure_checkpoint_dir(df.sparkSession.sparkContext)
     return df.checkpoint(eager=True)
 
 

@@ -167,6 +167,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return common.map_texts(docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text"), per_slice, schema).withColumnRenamed("id", id_col)
 
 
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of docs whose text scores under `limit`, with all their columns; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for part in common.sliced(batches, text_col):
+            yield part.filter(pa.array([shared.value.score(t) < limit for t in part.column(text_col).to_pylist()]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_counterfactual_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     found = score(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
