@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import audio, bpe, exact_dedup, jaccard, langid, mixing, recompression, sharding, toxicity
+from . import audio, bpe, exact_dedup, jaccard, langid, mixing, mixlm, recompression, sharding, toxicity
 
 
 def queries() -> dict:
     found = [
         audio.op1_audio_features,
+        mixlm.op2_context_mixing,
         mixing.op3_pareto_mixing,
         exact_dedup.op4_exact_dedup,
         sharding.op5_stratified_shards,
