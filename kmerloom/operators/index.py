@@ -77,7 +77,7 @@ def bit_blocks(set_bits: DataFrame, size: int, base: int = 0) -> DataFrame:
 def bit_ranks(blocks: DataFrame, queries: DataFrame) -> DataFrame:
     """queries (pos) with bit and rank: the set bits strictly before pos, plus the base of the blocks."""
     q = queries.withColumn("block", F.floor(F.col("pos") / 64)).join(blocks, "block")
-    below = F.expr("bits & (shiftleft(1L, cast(pmod(pos, 64) as int)) - 1)")
+    below = F.expr("bits & ~shiftleft(-1L, cast(pmod(pos, 64) as int))")
     return q.select("pos", F.expr("cast(getbit(bits, cast(pmod(pos, 64) as int)) as int)").alias("bit"), (F.col("before") + F.bit_count(below)).alias("rank"))
 
 

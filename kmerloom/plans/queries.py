@@ -29,8 +29,9 @@ def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nations' names: a small collection of reads for the index views."""
-    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("read_id"), F.translate(F.regexp_replace(F.lower("n_name"), "[^a-z]", ""), LETTERS, BASES).alias("seq"))
+    """The distinct part names: a small collection of reads for the index views."""
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").distinct()
+    return names.select(F.xxhash64("p_name").alias("read_id"), F.translate(F.regexp_replace(F.lower("p_name"), "[^a-z]", ""), LETTERS, BASES).alias("seq"))
 
 
 def counts(spark, sf_dir, k: int = K, least: int = 1) -> DataFrame:
@@ -242,7 +243,7 @@ def _four(n: str, base: str) -> str:
     return ", ".join(f"CAST(sum(CASE WHEN {base} = '{b}' THEN {n} ELSE 0 END) AS BIGINT) AS n_{b.lower()}" for b in "ACGT")
 
 
-_TINY = f"""WITH r AS (SELECT {_DNA.format('n_name')} AS s, row_number() OVER (ORDER BY {_DNA.format('n_name')}, n_nationkey) AS r FROM nation),
+_TINY = f"""WITH r AS (SELECT {_DNA.format('p_name')} AS s, row_number() OVER (ORDER BY {_DNA.format('p_name')}, p_name) AS r FROM (SELECT DISTINCT p_name FROM part)),
 suf AS (SELECT substr(s, i) || '$' AS suffix, r, CASE WHEN i = 1 THEN '$' ELSE substr(s, i - 1, 1) END AS symbol FROM (SELECT s, r, unnest(range(1, length(s) + 2)) AS i FROM r)),
 bwt AS (SELECT row_number() OVER (ORDER BY suffix, r) - 1 AS pos, symbol FROM suf)"""
 _RUNS = _TINY + """, m AS (SELECT *, CASE WHEN lag(symbol) OVER (ORDER BY pos) IS DISTINCT FROM symbol THEN 1 ELSE 0 END AS fresh FROM bwt),
@@ -279,8 +280,8 @@ ORACLE = {
       SELECT symbol, n, CAST(sum(n) OVER (ORDER BY i) - n AS BIGINT) AS start, CAST(sum(n) OVER (ORDER BY i) AS BIGINT) AS "end" FROM c""",
     "rank_table": _TINY + " SELECT pos, symbol, row_number() OVER (PARTITION BY symbol ORDER BY pos) - 1 AS rank FROM bwt",
     "bit_ranks": "SELECT event_id AS pos, CAST(event_type = 'click' AS INT) AS bit, CAST(coalesce(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rank FROM events",
-    "backward_search": f"WITH r AS (SELECT {_DNA.format('n_name')} AS seq, n_nationkey AS read_id FROM nation), {_at(3, 'r')} SELECT kmer, count(*) AS n FROM km GROUP BY kmer",
-    "reads_of_index": f"SELECT {_DNA.format('n_name')} AS seq, count(*) AS n FROM nation GROUP BY 1",
+    "backward_search": f"WITH r AS (SELECT {_DNA.format('p_name')} AS seq, p_name AS read_id FROM (SELECT DISTINCT p_name FROM part)), {_at(3, 'r')} SELECT kmer, count(*) AS n FROM km GROUP BY kmer",
+    "reads_of_index": f"SELECT {_DNA.format('p_name')} AS seq, count(*) AS n FROM (SELECT DISTINCT p_name FROM part) GROUP BY 1",
     "range_filter": f"WITH {_READS} SELECT read_id - 100 AS read_index, seq FROM reads WHERE read_id >= 100 AND read_id < 300",
     "fasta_lines": f"WITH {_READS} SELECT read_id AS read_index, '>read' || read_id || chr(10) || seq AS record FROM reads",
     "gaps": _REGIONS + f""", c AS (SELECT reg.*, noisy.seq, CASE WHEN first = 0 THEN 'head' WHEN last = size THEN 'tail' ELSE 'bridge' END AS "case",
