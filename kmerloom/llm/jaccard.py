@@ -1,8 +1,9 @@
 """N-gram Jaccard join with signature trees.
 
 A document is its set of word shingles. Equal sets are one class. Two classes that reach the threshold share a shingle among
-the first (1 - t) * n + 1 of each in hash order, so all links lie within the groups of classes that share such a
-shingle. Within a group the links are found in two steps:
+the first (1 - t) * n + 1 of each in hash order, and 1 + e if e more are taken. So a class may leave out the `drops` most
+frequent of its first shingles, and still all links lie within the groups of classes that share a shingle which both
+kept. (e is the sum of what a class and its largest possible partner leave out.) Within a group the links are found in two steps:
 
 1. Each class is compared with the group's smallest; the links found give components, which settle groups of near copies.
 2. In groups that still hold several components, blocks of classes become signature trees: a leaf holds some classes, a node
@@ -20,7 +21,7 @@ an id are rows of one document, whose smallest reachable id is taken over each r
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -29,10 +30,12 @@ from .graph import components
 WORDS, PERCENT = 4, 85
 #: Words of 64 bits in a bitmap; classes in a leaf; children of a node; classes in a block.
 BITMAP, LEAF, FANOUT, BLOCK = 16, 32, 4, 4096
+#: A class leaves out one in DROP.
+DROP = 50
 #: Member pairs that are compared at once.
 AT_ONCE = 1 << 16
 #: Hashes of words that a worker remembers.
-MEMORY = 1_000_000
+MEMORY = 250_000
 
 #: Odd multipliers, one for each place in a shingle, and those of the final mixing.
 PLACES = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) | 1 for i in range(1, 65)], np.uint64)
@@ -72,14 +75,38 @@ def shingles(hashes: np.ndarray, width: int = WORDS) -> np.ndarray:
     return np.unique(mixed(out))
 
 
-def bitmap(found: np.ndarray) -> bytes:
-    out = np.zeros(64 * BITMAP, np.uint8)
-    out[(found % np.uint64(64 * BITMAP)).astype(int)] = 1
+def drops(n: int) -> int:
+    """How many of its most frequent first shingles a class of n leaves out."""
+    return n // DROP
+
+
+def prefix_length(n: int, percent: int) -> int:
+    return min(n, n - (percent * n + 99) // 100 + 1 + drops(n) + drops(100 * n // percent + 1))
+
+
+def bitmap(found: np.ndarray, width: int = 64 * BITMAP) -> bytes:
+    out = np.zeros(width, np.uint8)
+    out[(found % np.uint64(width)).astype(int)] = 1
     return np.packbits(out).tobytes()
 
 
+def wide_bitmap(found: np.ndarray) -> bytes:
+    """As many bits as shingles, rounded up to a power of two; empty where the short bitmap has as many."""
+    n = len(found)
+    return bitmap(found, 1 << (n - 1).bit_length()) if n > 64 * BITMAP else b""
+
+
+def most_common(a: bytes, b: bytes, n: int, m: int) -> int:
+    """The largest overlap of two sets that their wide bitmaps allow; the wider one is folded."""
+    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
+    slack = min(n - int(np.bitwise_count(x).sum()), m - int(np.bitwise_count(y).sum()))
+    return int(np.bitwise_count(x & y).sum()) + slack
+
+
 def _text_sets(docs: DataFrame, id_col: str, text_col: str, width: int, whole: bool, percent: int) -> DataFrame:
-    """Per row: id, n, the set's 128-bit hash, and either the whole set or the bitmap and the prefix."""
+    """Per row: id, n, the set's 128-bit hash, and either the whole set or the bitmaps and the prefix."""
 
     class PerSlice:
         def __init__(self):
@@ -88,7 +115,7 @@ def _text_sets(docs: DataFrame, id_col: str, text_col: str, width: int, whole: b
             self.words, self.digest = WordHasher(), xxhash.xxh3_128_digest
 
         def __call__(self, batch):
-            rows = {"n": [], "k": [], **({"tokens": []} if whole else {"bits": [], "prefix": []})}
+            rows = {"n": [], "k": [], **({"tokens": []} if whole else {"bits": [], "wide": [], "prefix": []})}
             for text in batch.column("text").to_pylist():
                 found = shingles(self.words((text or "").encode().lower().split()), width)
                 n = len(found)
@@ -98,10 +125,11 @@ def _text_sets(docs: DataFrame, id_col: str, text_col: str, width: int, whole: b
                     rows["tokens"].append(found.tobytes())
                 else:
                     rows["bits"].append(bitmap(found))
-                    rows["prefix"].append(found[: n - (percent * n + 99) // 100 + 1].view(np.int64) if n else [])
+                    rows["wide"].append(wide_bitmap(found))
+                    rows["prefix"].append(found[: prefix_length(n, percent)].view(np.int64))
             return {"id": batch.column("id")} | rows
 
-    schema = f"id {dict(docs.dtypes)[id_col]}, n bigint, k binary, " + ("tokens binary" if whole else "bits binary, prefix array<bigint>")
+    schema = f"id {dict(docs.dtypes)[id_col]}, n bigint, k binary, " + ("tokens binary" if whole else "bits binary, wide binary, prefix array<bigint>")
     return common.map_texts(docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text"), PerSlice, schema)
 
 
@@ -152,27 +180,34 @@ class Tree:
                     work.append((level - 1, a[keep], b[keep]))
 
 
-def _grouped(batches, keys: list[str]):
-    """Record batches sorted by keys, as one table per group."""
+def _whole_groups(batches, keys: list[str]):
+    """Tables of whole groups from record batches sorted by keys, with the index of each group's first row."""
     import pyarrow as pa
 
     held: list = []
-    for batch in batches:
-        if batch.num_rows == 0:
+    for batch in _and_end(batches):
+        if batch is not None and batch.num_rows == 0:
             continue
-        change = np.zeros(batch.num_rows - 1, bool)
+        table = pa.Table.from_batches([*held, batch] if batch is not None else held) if held or batch is not None else None
+        if table is None:
+            return
+        change = np.zeros(table.num_rows, bool)
+        change[0] = True
         for k in keys:
-            v = batch.column(k).to_numpy()
-            change |= v[1:] != v[:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            part = batch.slice(a, b - a)
-            if held and any(held[-1].column(k)[0] != part.column(k)[0] for k in keys) if a == 0 else held:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(part)
-    if held:
-        yield pa.Table.from_batches(held)
+            v = table.column(k).to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        starts = np.flatnonzero(change)
+        if batch is None:
+            yield table, starts
+            return
+        held = table.slice(starts[-1]).combine_chunks().to_batches()
+        if starts[-1]:
+            yield table.slice(0, starts[-1]), starts[:-1]
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
 
 
 def _tree_candidates(members: DataFrame, percent: int) -> DataFrame:
@@ -182,18 +217,35 @@ def _tree_candidates(members: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for group in _grouped(batches, keys):
-            if group.num_rows < 2:
-                continue
-            n, root, node = (group.column(c).to_numpy() for c in ("n", "root", "node"))
-            if (root == root[0]).all():
-                continue
-            bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP)
-            order = np.lexsort((n, root))
-            tree, node = Tree(n[order], root[order], bits[order]), node[order]
-            for x, y in tree.candidates(percent):
-                if len(x):
-                    yield pa.RecordBatch.from_pydict({"a": np.maximum(node[x], node[y]), "b": np.minimum(node[x], node[y])})
+        def pairs(x, y):
+            return pa.RecordBatch.from_pydict({"a": np.maximum(x, y), "b": np.minimum(x, y)})
+
+        for table, starts in _whole_groups(batches, keys):
+            n, root, node = (table.column(c).to_numpy() for c in ("n", "root", "node"))
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP)
+            sizes = np.diff(np.append(starts, len(n)))
+            # groups of one leaf, all at once: a member with the next, the one after it, and so on
+            small = np.repeat(np.where(sizes <= LEAF, np.arange(len(sizes)), -1), sizes)
+            slack = n - np.bitwise_count(bits).sum(axis=1)
+            for step in range(1, LEAF):
+                i = np.flatnonzero((small[step:] >= 0) & (small[step:] == small[:-step]))
+                if not len(i):
+                    break
+                j = i + step
+                fits = (root[i] != root[j]) & (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i])
+                i, j = i[fits], j[fits]
+                most = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64) + np.minimum(slack[i], slack[j])
+                fits = (100 + percent) * np.minimum(most, np.minimum(n[i], n[j])) >= percent * (n[i] + n[j])
+                if fits.any():
+                    yield pairs(node[i[fits]], node[j[fits]])
+            for k in np.flatnonzero(sizes > LEAF):
+                mine = slice(starts[k], starts[k] + sizes[k])
+                if (root[mine] == root[starts[k]]).all():
+                    continue
+                order = np.lexsort((n[mine], root[mine])) + starts[k]
+                for x, y in Tree(n[order], root[order], bits[order]).candidates(percent):
+                    if len(x):
+                        yield pairs(node[order[x]], node[order[y]])
 
     return members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -214,9 +266,14 @@ def _possible_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataF
                 n, m = (batch.column(f"n_{s}").to_numpy() for s in "ab")
                 slack = np.minimum(n - np.bitwise_count(a).sum(axis=1), m - np.bitwise_count(b).sum(axis=1))
                 most = np.minimum(np.bitwise_count(a & b).sum(axis=1, dtype=np.int64) + slack, np.minimum(n, m))
-                yield batch.select(["a", "b"]).filter(_mask((100 + percent) * most >= percent * (n + m)))
+                good = (100 + percent) * most >= percent * (n + m)
+                wide = [batch.column(f"wide_{s}").to_pylist() for s in "ab"]
+                for i in np.flatnonzero(good):
+                    if wide[0][i] and wide[1][i]:
+                        good[i] = (100 + percent) * most_common(wide[0][i], wide[1][i], int(n[i]), int(m[i])) >= percent * (n[i] + m[i])
+                yield batch.select(["a", "b"]).filter(_mask(good))
 
-    return _with_both(pairs, classes, ["n", "bits"]).mapInArrow(run, "a bigint, b bigint")
+    return _with_both(pairs, classes, ["n", "bits", "wide"]).mapInArrow(run, "a bigint, b bigint")
 
 
 def _mask(values: np.ndarray):
@@ -245,12 +302,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     facts = common.saved(_text_sets(docs, "id", "text", width, False, percent))
     filled = facts.filter("n > 0 and id is not null")
-    classes = filled.groupBy("k").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    classes = filled.groupBy("k").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("size"))
     classes = common.saved(classes.withColumn("node", F.monotonically_increasing_id()))
-    tokens = classes.select("node", "n", F.explode("prefix").alias("t"))
-    total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    groups = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("g"), F.min(F.struct("n", "node")).alias("rep")).filter("g > 1")
-    members = common.saved(common.join_groups(tokens, common.saved(groups), "t", "g", total))
+    many = classes.count()
+    heads = filled.join(common.counted_broadcast(classes.select("k", F.col("cid").alias("id"), "node"), many), ["k", "id"])
+    tokens = heads.select("node", "n", F.explode("prefix").alias("t"))
+    total = heads.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    frequent = common.saved(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("g")).filter("g > 1"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("g"), "t"))
+    members = common.join_groups(tokens, frequent, "t", "g", total).withColumn("_rank", rank).filter(F.col("_rank") > F.expr(f"n div {DROP}")).select("t", "node", "n")
+    members = common.saved(members)
+    groups = members.groupBy("t").agg(F.count(F.lit(1)).alias("g"), F.min(F.struct("n", "node")).alias("rep")).filter("g > 1")
+    members = common.saved(common.join_groups(members, common.saved(groups), "t", "g", total))
+    facts_of = heads.select("node", "n", "bits", "wide").dropDuplicates(["node"])
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -266,7 +330,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     fits = f"100 * least(n, rep.n) >= {percent} * greatest(n, rep.n) and node <> rep.node"
     stars = members.filter(fits).select(F.greatest("node", "rep.node").alias("a"), F.least("node", "rep.node").alias("b")).distinct()
-    links = verified(_possible_pairs(stars, classes, percent))
+    links = verified(_possible_pairs(stars, facts_of, percent))
     roots = common.saved(components(links))
 
     lead = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("t", "node", "n", "g", "root")
@@ -282,7 +346,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spread = spread.join(common.counted_broadcast(live, live.count()), (F.col("t") == F.col("_t")) & (F.col("s") == F.col("_s")), "left_semi")
     spread = spread.select("t", "s", "node", "n", "root", "_own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_other"))
     spread = spread.select("t", "s", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "node", "n", "root")
-    more = _tree_candidates(spread.join(classes.select("node", "bits"), "node"), percent)
+    more = _tree_candidates(spread.join(facts_of.select("node", "bits"), "node"), percent)
+    more = _possible_pairs(common.saved(more), facts_of, percent)
     links = common.saved(links.unionByName(verified(more)).unionByName(roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     named = classes.select("node", "k", "cid", "size").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
