@@ -28,9 +28,9 @@ from .jaccard import WordHasher, mixed
 
 WINDOW = 50
 #: Symbols of FROZEN words or more form no pairs; ROUNDS of naming.
-FROZEN, ROUNDS = 10, 8
-#: Rounds that also name runs: of words, and of pairs of pairs. Equal neighbours toss equal coins and form no pairs.
-RUN_ROUNDS = (0, 2)
+FROZEN, ROUNDS = 6, 4
+#: Rounds that also name runs (of words). Equal neighbours toss equal coins and form no pairs.
+RUN_ROUNDS = (0,)
 FAR = 1 << 40
 
 _PAIR, _NEXT, _RUN, _COIN, _ORDER, _WINDOW = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F))
@@ -107,6 +107,13 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def spans(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A hash of the words low to high of each span."""
+    n = len(hashes)
+    total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(hashes * powers(_BASE, n))])
+    return mixed((total[high] - total[low]) * powers(_INVERSE, n + 1)[low] + (high - low).astype(np.uint64) * _PAIR)
+
+
 def window_hashes(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """A hash of the `window` words from each position on."""
     n = len(hashes)
@@ -143,7 +150,10 @@ def anchors(hashes: np.ndarray, barrier: np.ndarray, window: int = WINDOW) -> tu
     count = np.diff(np.append(first, len(at)))
     begin, lone = at[first], own[first]
     symbol = order[np.where(lone, 0, rank[first])] if len(order) else np.zeros(len(first), int)
-    name, offset = s.name[symbol].copy(), np.where(lone, 0, s.start[symbol] - begin)
+    # every window of the stretch holds the symbol's whole reach, so the name can tell all of it
+    low, high = np.where(lone, 0, s.low[symbol]), np.where(lone, 0, s.high[symbol])
+    name = mixed(spans(hashes, low, high) + s.name[symbol] + (s.start[symbol] - low).astype(np.uint64) * _NEXT)
+    offset = np.where(lone, 0, s.start[symbol] - begin)
     if lone.any():
         name[lone] = mixed(window_hashes(hashes, window)[begin[lone]] + _WINDOW)
     return name, begin, count, offset
@@ -233,9 +243,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = common.saved(wanted)
 
     def with_rows(facts: DataFrame, column: str) -> DataFrame:
-        """Rows of the facts, once each. The facts are broadcast where their number and length are within the bound."""
+        """Rows of the facts. Keys, and the facts as well if they are short, are broadcast where they were counted to be
+        within the bound; then only texts that have facts are shuffled, or none."""
         many, entries = facts.agg(F.count(F.lit(1)), F.sum(F.size(column))).first()
-        return rows.join(common.counted_broadcast(facts, 4 * many + (entries or 0)), "k")
+        own = rows.join(common.counted_broadcast(facts.select("k"), many), "k", "left_semi")
+        return own.join(common.counted_broadcast(facts, 4 * many + (entries or 0)), "k")
 
     stretches = common.saved(_stretches(with_rows(wanted, "wanted")))
     n = stretches.count()
@@ -244,7 +256,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     several = common.saved(classes.groupBy("name").agg(F.count(F.lit(1)).alias("of")).filter("of > 1"))
     open_ = common.join_groups(classes.drop("g"), several, "name", "of", n).select("c", "least")
     heads = stretches.join(open_, "c").filter("id = least").groupBy("c").agg(F.first("name").alias("name"), F.first("least").alias("least"), F.first("windows").alias("windows"))
-    each = common.saved(heads.select("c", "name", "least", F.posexplode("windows").alias("i", "w")))
+    each = common.saved(heads).select("c", "name", "least", F.posexplode("windows").alias("i", "w"))
     first = each.groupBy("name", "w").agg(F.min("least").alias("source"), F.max("least").alias("last"), F.count(F.lit(1)).alias("of")).filter("source < last")
     first = common.saved(first.select(F.struct("name", "w").alias("window"), "source", "of"))
     late = common.join_groups(each.select("c", "least", "i", F.struct("name", "w").alias("window")), first, "window", "of", each.count()).filter("source < least")
