@@ -28,7 +28,7 @@ DEFAULT_FILE = "word_bpe_49k.json"
 #: Characters read into the buffer at once for words longer than this.
 CHUNK = 512
 #: Words whose tokens a worker remembers, and the longest of them.
-MEMORY, LONGEST = 300_000, 48
+MEMORY, LONGEST = 100_000, 40
 
 
 def vocabulary_path(name: str = DEFAULT_FILE) -> str:

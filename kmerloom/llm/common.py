@@ -75,7 +75,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
 
 
 #: Text bytes that a Python worker turns into objects at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def sliced(batches, text: str = "text", most: int = SLICE_BYTES):
