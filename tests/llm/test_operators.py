@@ -173,8 +173,8 @@ def test_bpe(docs, none, rows):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     draw = random.Random(5)
     for alphabet in ("ab", "aeinorst", "abcdefghijklmnopqrstuvwxyz"):
-        for chunk in (1, 9, 40):
-            for _ in range(10):
+        for chunk in (9, 40):
+            for _ in range(3):
                 word = "".join(draw.choice(alphabet) for _ in range(700))
                 assert e.word_tokens(word, chunk) == t.encode(word, add_special_tokens=False).tokens
     for text in ("<|endoftext|> a<|startoftext|>", "Ᲊ \U00010d50", "İΣ ς", "a\x00b", "é é"):
