@@ -109,14 +109,13 @@ def text_of_runs(found: DataFrame) -> DataFrame:
 
 
 def reads_of_bwt(text: DataFrame) -> DataFrame:
-    """(read, seq): the reads that a text was made of, walked back from their ends all at once."""
+    """(read, seq): the reads that a text was made of. Every place doubles its walk back each round, until all meet a $."""
     text = saved(ranks(text))
     starts = {r["symbol"]: r["start"] for r in totals(runs(text)).collect()}
     first = F.create_map(*[x for c in ALPHABET for x in (F.lit(c), F.lit(starts[c]).cast("bigint"))])
-    back = saved(text.select("pos", "symbol", (F.element_at(first, F.col("symbol")) + F.col("rank")).alias("to")))
-    state = saved(back.filter(F.col("pos") < text.filter("symbol = '$'").count()).select(F.col("pos").alias("read"), F.col("pos").alias("at"), F.lit("").alias("seq"), F.lit(False).alias("done")))
-    while not (open_ := state.filter("not done")).isEmpty():
-        step = open_.join(back, open_["at"] == back["pos"])
-        moved = step.select("read", F.col("to").alias("at"), F.when(F.col("symbol") == "$", F.col("seq")).otherwise(F.concat("symbol", "seq")).alias("seq"), (F.col("symbol") == "$").alias("done"))
-        state = saved(state.filter("done").unionByName(moved))
-    return state.select("read", "seq")
+    end = F.col("symbol") == "$"
+    walk = saved(text.select("pos", F.when(~end, F.element_at(first, F.col("symbol")) + F.col("rank")).alias("to"), F.when(end, "").otherwise(F.col("symbol")).alias("seq")))
+    while not walk.filter("to is not null").isEmpty():
+        on = walk.select(F.col("pos").alias("to"), F.col("to").alias("_to"), F.col("seq").alias("_seq"))
+        walk = saved(walk.join(on, "to", "left").select("pos", F.col("_to").alias("to"), F.concat(F.coalesce("_seq", F.lit("")), "seq").alias("seq")))
+    return walk.filter(F.col("pos") < text.filter("symbol = '$'").count()).select(F.col("pos").alias("read"), "seq")
