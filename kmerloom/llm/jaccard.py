@@ -8,9 +8,11 @@ kept. (e is the sum of what a class and its largest possible partner leave out.)
 1. Each class is compared with the group's smallest; the links found give components, which settle groups of near copies.
 2. In groups that still hold several components, blocks of classes become signature trees: a leaf holds some classes, a node
    the OR of their token bitmaps and the range of their sizes. A dual traversal drops every pair of nodes whose largest
-   possible overlap is too small, whose sizes are too far apart, or that are in one component already.
+   possible overlap is too small, whose sizes are too far apart, or that are in one component already. Groups of more
+   than a leaf are traversed twice: first only a spanning forest of the components by the largest possible overlap leaves
+   the task, whose links join most of a group of near copies; then every pair that is left between two components.
 
-What remains of either step is verified on the whole sets. A group of any size is cut into blocks of BLOCK classes, and
+What remains of each step is verified on the whole sets. A group of any size is cut into blocks of BLOCK classes, and
 each pair of blocks is work of its own. Shingles and sets are told apart by 64-bit and 128-bit hashes.
 
 Defined cases: a text that is null or without words has an empty set and links with nothing; a text with fewer words than a
@@ -32,8 +34,8 @@ WORDS, PERCENT = 4, 85
 BITMAP, LEAF, FANOUT, BLOCK = 16, 32, 4, 4096
 #: A class leaves out one in DROP.
 DROP = 50
-#: Member pairs that are compared at once.
-AT_ONCE = 1 << 16
+#: Member pairs that are compared at once; pairs held before they are cut to a spanning forest.
+AT_ONCE, HELD = 1 << 16, 1 << 20
 #: Hashes of words that a worker remembers.
 MEMORY = 250_000
 
@@ -134,28 +136,35 @@ def _text_sets(docs: DataFrame, id_col: str, text_col: str, width: int, whole: b
 
 
 class Tree:
-    """Signature trees over the members of a group, level by level; level 0 is the members."""
+    """Signature trees over the members of a group, level by level; level 0 is the members.
 
-    def __init__(self, n: np.ndarray, comp: np.ndarray, bits: np.ndarray):
+    `guest` marks members of the next smaller step: pairs of two guests are compared where they are at home.
+    """
+
+    def __init__(self, n: np.ndarray, comp: np.ndarray, bits: np.ndarray, guest: np.ndarray):
         slack = n - np.bitwise_count(bits).sum(axis=1)
-        self.levels = [(bits, n, n, slack, comp, comp)]
+        self.levels = [(bits, n, n, slack, comp, comp, guest)]
         step = LEAF
         while len(self.levels[-1][0]) > 1:
-            b, lo, hi, s, c, d = self.levels[-1]
+            b, lo, hi, s, c, d, g = self.levels[-1]
             at = np.arange(0, len(b), step)
-            self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(s, at), np.minimum.reduceat(c, at), np.maximum.reduceat(d, at)))
+            self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(s, at), np.minimum.reduceat(c, at), np.maximum.reduceat(d, at), np.logical_and.reduceat(g, at)))
             step = FANOUT
 
+    def most(self, level: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The largest overlap that pairs of nodes may have."""
+        b, _, hi, s, *_ = self.levels[level]
+        most = np.bitwise_count(b[x] & b[y]).sum(axis=1, dtype=np.int64) + np.minimum(s[x], s[y])
+        return np.minimum(most, np.minimum(hi[x], hi[y]))
+
     def possible(self, level: int, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
         """Which pairs of nodes may hold a link between two components."""
-        b, lo, hi, s, c, d = self.levels[level]
-        ok = (100 * hi[x] >= percent * lo[y]) & (100 * hi[y] >= percent * lo[x]) & ~((c[x] == d[x]) & (c[y] == d[y]) & (c[x] == c[y]))
+        _, lo, hi, _, c, d, guest = self.levels[level]
+        ok = (100 * hi[x] >= percent * lo[y]) & (100 * hi[y] >= percent * lo[x]) & ~((c[x] == d[x]) & (c[y] == d[y]) & (c[x] == c[y])) & ~(guest[x] & guest[y])
         at = np.flatnonzero(ok)
         for k in range(0, len(at), AT_ONCE):
             i, j = x[at[k : k + AT_ONCE]], y[at[k : k + AT_ONCE]]
-            most = np.bitwise_count(b[i] & b[j]).sum(axis=1, dtype=np.int64) + np.minimum(s[i], s[j])
-            most = np.minimum(most, np.minimum(hi[i], hi[j]))
-            ok[at[k : k + AT_ONCE]] = (100 + percent) * most >= percent * (lo[i] + lo[j])
+            ok[at[k : k + AT_ONCE]] = (100 + percent) * self.most(level, i, j) >= percent * (lo[i] + lo[j])
         return ok
 
     def candidates(self, percent: int):
@@ -180,6 +189,43 @@ class Tree:
                     work.append((level - 1, a[keep], b[keep]))
 
 
+    def forest(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The candidates of a spanning forest of the components, chosen by the largest possible overlap."""
+        n, label = self.levels[0][1], np.unique(self.levels[0][4], return_inverse=True)[1]
+        none = np.zeros(0, np.int64)
+        x, y, held, count = none, none, [], 0
+        for part in _and_end(self.candidates(percent)):
+            if part is not None and len(part[0]):
+                held.append(part)
+                count += len(part[0])
+            if count > HELD or part is None:
+                x, y = (np.concatenate([v, *[p[k] for p in held]]) for k, v in enumerate((x, y)))
+                share = np.concatenate([none, *[self.most(0, x[k : k + AT_ONCE], y[k : k + AT_ONCE]) for k in range(0, len(x), AT_ONCE)]]) / (n[x] + n[y])
+                best = spanning_forest(label[x], label[y], share)
+                x, y, held, count = x[best], y[best], [], 0
+        return x, y
+
+
+def spanning_forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Indices of the edges (a, b) of a spanning forest of the greatest weight; in each turn every tree takes its best edge."""
+    at = np.argsort(-weight, kind="stable")
+    a, b, chosen = a[at], b[at], [at[:0]]
+    own = np.arange(max(a.max(), b.max()) + 1 if len(a) else 0)
+    while (apart := a != b).any():
+        at, a, b = at[apart], a[apart], b[apart]
+        tree, first = np.unique(np.stack([a, b], axis=1).ravel(), return_index=True)
+        edge = first // 2
+        chosen.append(at[np.unique(edge)])
+        up = own.copy()
+        up[tree] = a[edge] + b[edge] - tree
+        both = (up[up] == own) & (own < up)
+        up[both] = own[both]
+        while (up[up] != up).any():
+            up = up[up]
+        a, b = up[a], up[b]
+    return np.concatenate(chosen)
+
+
 def _whole_groups(batches, keys: list[str]):
     """Tables of whole groups from record batches sorted by keys, with the index of each group's first row."""
     import pyarrow as pa
@@ -210,8 +256,11 @@ def _and_end(batches):
     yield None
 
 
-def _tree_candidates(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) within the groups of members (t, s, x, y, node, n, root, bits)."""
+def _tree_candidates(members: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Candidate pairs (a, b) within the groups of members (t, s, x, y, node, n, root, guest, bits).
+
+    With `forest`, of each group of more than a leaf only a spanning forest, and nothing of the others.
+    """
     keys = ["t", "s", "x", "y"]
 
     def run(batches):
@@ -221,18 +270,18 @@ def _tree_candidates(members: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_pydict({"a": np.maximum(x, y), "b": np.minimum(x, y)})
 
         for table, starts in _whole_groups(batches, keys):
-            n, root, node = (table.column(c).to_numpy() for c in ("n", "root", "node"))
+            n, root, node, guest = (table.column(c).to_numpy() for c in ("n", "root", "node", "guest"))
             bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP)
             sizes = np.diff(np.append(starts, len(n)))
             # groups of one leaf, all at once: a member with the next, the one after it, and so on
             small = np.repeat(np.where(sizes <= LEAF, np.arange(len(sizes)), -1), sizes)
             slack = n - np.bitwise_count(bits).sum(axis=1)
-            for step in range(1, LEAF):
+            for step in range(1, LEAF if not forest else 1):
                 i = np.flatnonzero((small[step:] >= 0) & (small[step:] == small[:-step]))
                 if not len(i):
                     break
                 j = i + step
-                fits = (root[i] != root[j]) & (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i])
+                fits = (root[i] != root[j]) & ~(guest[i] & guest[j]) & (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i])
                 i, j = i[fits], j[fits]
                 most = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64) + np.minimum(slack[i], slack[j])
                 fits = (100 + percent) * np.minimum(most, np.minimum(n[i], n[j])) >= percent * (n[i] + n[j])
@@ -243,7 +292,8 @@ def _tree_candidates(members: DataFrame, percent: int) -> DataFrame:
                 if (root[mine] == root[starts[k]]).all():
                     continue
                 order = np.lexsort((n[mine], root[mine])) + starts[k]
-                for x, y in Tree(n[order], root[order], bits[order]).candidates(percent):
+                tree = Tree(n[order], root[order], bits[order], guest[order])
+                for x, y in [tree.forest(percent)] if forest else tree.candidates(percent):
                     if len(x):
                         yield pairs(node[order[x]], node[order[y]])
 
@@ -333,24 +383,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = verified(_possible_pairs(stars, facts_of, percent))
     roots = common.saved(components(links))
 
-    lead = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("t", "node", "n", "g", "root")
-    lead = common.saved(lead)
-    mixed_groups = lead.groupBy("t").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_size")).filter("_lo <> _hi").select("t", "_size")
-    open_ = common.join_groups(lead, common.saved(mixed_groups), "t", "_size", total)
     step = -float(np.log(percent / 100))
-    # Linked sizes differ by one step at most: a class goes to its own step and, as the smaller, to the next.
-    open_ = open_.withColumn("_step", F.floor(F.log("n") / F.lit(step) + F.lit(1e-9))).withColumn("_blocks", F.ceil(F.col("g") / block)).withColumn("_own", F.pmod(F.xxhash64("node"), "_blocks"))
-    spread = open_.select("t", "node", "n", "root", "_own", "_blocks", F.explode(F.array(F.col("_step"), F.col("_step") + 1)).alias("s"))
-    live = spread.groupBy("t", "s").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_size")).filter("_lo <> _hi").select(F.col("t").alias("_t"), F.col("s").alias("_s"))
-    live = common.saved(live)
-    spread = spread.join(common.counted_broadcast(live, live.count()), (F.col("t") == F.col("_t")) & (F.col("s") == F.col("_s")), "left_semi")
-    spread = spread.select("t", "s", "node", "n", "root", "_own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_other"))
-    spread = spread.select("t", "s", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "node", "n", "root")
-    more = _tree_candidates(spread.join(facts_of.select("node", "bits"), "node"), percent)
-    more = _possible_pairs(common.saved(more), facts_of, percent)
-    links = common.saved(links.unionByName(verified(more)).unionByName(roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
-
-    named = classes.select("node", "k", "cid", "size").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def between(roots: DataFrame, forest: bool) -> DataFrame:
+        """Links between components within the groups; with `forest`, those of spanning forests of groups of more than a leaf."""
+        lead = members.filter(F.col("g") > (LEAF if forest else 1)).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        lead = common.saved(lead.select("t", "node", "n", "g", "root"))
+        mixed_groups = lead.groupBy("t").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_size")).filter("_lo <> _hi").select("t", "_size")
+        open_ = common.join_groups(lead, common.saved(mixed_groups), "t", "_size", total)
+        # Linked sizes differ by one step at most: a class goes to its own step and, as the smaller, to the next.
+        open_ = open_.withColumn("_step", F.floor(F.log("n") / F.lit(step) + F.lit(1e-9))).withColumn("_blocks", F.ceil(F.col("g") / block)).withColumn("_own", F.pmod(F.xxhash64("node"), "_blocks"))
+        steps = F.explode(F.array(*[F.struct((F.col("_step") + k).alias("s"), F.lit(k == 1).alias("guest")) for k in (0, 1)]))
+        spread = open_.select("t", "node", "n", "root", "_own", "_blocks", steps.alias("_at")).select("t", "node", "n", "root", "_own", "_blocks", "_at.*")
+        live = spread.groupBy("t", "s").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min("guest").alias("_guests")).filter("_lo <> _hi and not _guests").select(F.col("t").alias("_t"), F.col("s").alias("_s"))
+        live = common.saved(live)
+        spread = spread.join(common.counted_broadcast(live, live.count()), (F.col("t") == F.col("_t")) & (F.col("s") == F.col("_s")), "left_semi")
+        spread = spread.select("t", "s", "node", "n", "root", "guest", "_own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_other"))
+        spread = spread.select("t", "s", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "node", "n", "root", "guest")
+        found = _tree_candidates(spread.join(facts_of.select("node", "bits"), "node"), percent, forest)
+        return verified(_possible_pairs(common.saved(found), facts_of, percent))
+
+    def grown(roots: DataFrame, forest: bool) -> DataFrame:
+        old = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        return components(between(roots, forest).unionByName(old))
+
+    roots = common.saved(grown(common.saved(grown(roots, True)), False))
+    named = classes.select("node", "k", "cid", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = common.saved(named)
     least = named.filter("root <> node").groupBy("root").agg(F.min("cid").alias("_least"))
     heads = named.join(least, "root", "left").select("k", "size", F.least("cid", F.coalesce("_least", "cid")).alias("_mine"), "root")

@@ -243,10 +243,35 @@ def test_tree_finds_all_pairs():
     sets += [draw.integers(0, 1 << 62, draw.integers(5, 90)).astype(np.uint64) for _ in range(150)]
     n = np.array([len(s) for s in sets])
     bits = np.frombuffer(b"".join(map(jaccard.bitmap, sets)), np.uint64).reshape(-1, jaccard.BITMAP)
-    tree = jaccard.Tree(n, np.arange(len(sets)), bits)
+    at_home = np.zeros(len(sets), bool)
+    tree = jaccard.Tree(n, np.arange(len(sets)), bits, at_home)
     found = {(int(a), int(b)) for x, y in tree.candidates(85) for a, b in zip(np.minimum(x, y), np.maximum(x, y))}
     linked = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * (o := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (n[a] + n[b] - o)}
     assert linked and linked <= found and len(found) < len(sets) ** 2 / 3
+    guest = np.arange(len(sets)) % 3 == 0
+    fewer = {(int(a), int(b)) for x, y in jaccard.Tree(n, np.arange(len(sets)), bits, guest).candidates(85) for a, b in zip(np.minimum(x, y), np.maximum(x, y))}
+    assert fewer == {(a, b) for a, b in found if not (guest[a] and guest[b])}
+
+    def parts(pairs):
+        root = list(range(len(sets)))
+        for a, b in pairs:
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[max(a, b)] = min(a, b)
+        return sum(k == r for k, r in enumerate(root))
+
+    for held in (jaccard.HELD, 100):
+        jaccard.HELD, before = held, jaccard.HELD
+        x, y = tree.forest(85)
+        jaccard.HELD = before
+        forest = list(zip(x.tolist(), y.tolist()))
+        assert len(forest) == len(sets) - parts(forest) and parts(forest) == parts(found)
+    a, b, w = (np.array(v) for v in zip((0, 1, 5.0), (1, 2, 4.0), (0, 2, 3.0), (3, 4, 1.0), (3, 4, 2.0)))
+    assert sorted(jaccard.spanning_forest(a.astype(int), b.astype(int), w).tolist()) == [0, 1, 4]
+    alone = jaccard.Tree(n[:1], np.zeros(1, int), bits[:1], at_home[:1])
+    assert len(alone.forest(85)[0]) == 0
 
 
 def test_language(spark, none):
