@@ -136,11 +136,10 @@ def anchors(hashes: np.ndarray, barrier: np.ndarray, window: int = WINDOW) -> tu
     best = np.full(len(valid), len(order), np.int64)
     low, least = s.low[order], s.high[order] - window
     ranks = np.arange(len(order))
-    for back in range(window):
+    # further back than this no reach fits into a window
+    for back in range(int((low - least).max(initial=-1)) + 1):
         at = low - back
         fits = (at >= least) & (at >= 0) & (at < len(best))
-        if not fits.any():
-            break
         np.minimum.at(best, at[fits], ranks[fits])
     at = np.flatnonzero(valid)
     rank = best[at]
