@@ -99,9 +99,11 @@ def build_filter(rows: list[tuple[str, int]], docs: dict[str, int]) -> MaskFilte
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCS) -> MaskFilter:
     """A filter from the labelled documents outside the held-out fold."""
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~common.is_held_out(FOLD, HELD_OUT, id_col))
-    n = labelled.count()
-    if n > most:
-        labelled = labelled.filter(common.unit_hash(F.col(id_col), seed="langid") < most / n)
+    sizes = {r[0]: r["n"] for r in labelled.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(sizes.values()) > most:
+        # each language has the same share of the bound, so that a rare one is learned as well
+        rates = labelled.sparkSession.createDataFrame([(x, most / len(sizes) / n) for x, n in sizes.items()], "_lang string, _rate double")
+        labelled = labelled.join(F.broadcast(rates), F.col(lang_col) == F.col("_lang")).filter(common.unit_hash(F.col(id_col), seed="langid") < F.col("_rate"))
     labelled = labelled.selectExpr(f"`{lang_col}` as lang", f"`{text_col}` as text")
 
     def per_slice(batch):
