@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,9 +22,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(sc) -> None:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset on a local master, as in tests."""
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kmerloom-checkpoint-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="kmerloom-checkpoint-"))
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -31,6 +36,51 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Intermediate tables of one operator, as Parquet in the folder in spark.checkpoint.dir.
+
+    Like a checkpoint a table outlives executors, but it is read by column and can be deleted as soon as its successor is
+    written. What is not dropped goes when the application ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark.sparkContext)
+        self.spark, self.paths, self.made = spark, {}, 0
+        self.folder = self._path(f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}")
+        self.files = self.folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.files.deleteOnExit(self.folder)
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+
+    def save(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.folder.toString()}/{self.made}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more, and let Spark delete the shuffle files of plans that are gone."""
+        for t in tables:
+            self.files.delete(self._path(self.paths.pop(id(t))[0]), True)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
+def unused(taken: list[str], *wanted: str) -> list[str]:
+    """Names for internal columns that clash with none of `taken`, whatever its case."""
+    low = {t.lower() for t in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in low:
+            name = "_" + name
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
 def counted_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only where the counted rows are within the bound; otherwise the join shuffles."""
     return F.broadcast(df) if rows <= most else df

@@ -1,46 +1,59 @@
 """N-gram Jaccard join with signature trees.
 
-A document is its set of word shingles. Equal sets are one class. Two classes that reach the threshold share a shingle among
-the first (1 - t) * n + 1 of each in hash order, and 1 + e if e more are taken. So a class may leave out the `drops` most
-frequent of its first shingles, and still all links lie within the groups of classes that share a shingle which both
-kept. (e is the sum of what a class and its largest possible partner leave out.) Within a group the links are found in two steps:
+A document is its set of word shingles. Equal sets are one class. Classes meet in groups, and signature trees find the links within
+the groups.
 
-1. Each class is compared with the group's smallest; the links found give components, which settle groups of near copies.
-2. In groups that still hold several components, blocks of classes become signature trees: a leaf holds some classes, a node
-   the OR of their token bitmaps and the range of their sizes. A dual traversal drops every pair of nodes whose largest
-   possible overlap is too small, whose sizes are too far apart, or that are in one component already. Groups of more
-   than a leaf are traversed twice: first only a spanning forest of the components by the largest possible overlap leaves
-   the task, whose links join most of a group of near copies; then every pair that is left between two components.
+Groups. Sets of which the larger has at most `top` shingles differ, if they link, in at most K = 2 * top * (1 - t) / (1 + t)
+shingles. So of K + 1 + spare parts, into which a hash deals the shingles, more than `spare` are equal in both. Each class
+emits the hash of each of its filled parts, and linked classes share one unless both leave more than `spare` parts empty;
+such classes also emit their first (1 - t) * n + 1 shingles in hash order, of which linked ones share one. Sizes fall into bands, each
+with its `top`; a class emits for its own band and for those that larger partners may be in. A part holds several shingles, so
+a passage that many documents share makes no group: only nearly equal sets meet.
 
-What remains of each step is verified on the whole sets. A group of any size is cut into blocks of BLOCK classes, and
-each pair of blocks is work of its own. Shingles and sets are told apart by 64-bit and 128-bit hashes.
+Trees. In a group, a leaf of a signature tree holds some classes, a node the OR of their token bitmaps and the range of their
+sizes. A dual traversal drops every pair of nodes whose largest possible overlap is too small, whose sizes are too far apart,
+or that are in one component already. The trees are walked three times:
+
+1. Each class goes with its whole set to its largest group, in blocks of bounded size that all hold the group's least class. What
+   the traversal leaves is verified at once, by spanning forests of the largest possible overlaps, until the block is settled.
+2. In groups that still hold several components, blocks meet pair by pair but for those of one component. Of each task only
+   a spanning forest of candidates is verified, on whole sets.
+3. As 2, with every candidate that is left between two components. This makes the result exact.
+
+Shingles and sets are told apart by 64-bit and 128-bit hashes.
 
 Defined cases: a text that is null or without words has an empty set and links with nothing; a text with fewer words than a
 shingle has one shingle of all of them; rows with a null id link with nothing and have a null component; rows that repeat
-an id are rows of one document, whose smallest reachable id is taken over each row's own links; an empty table gives an empty table.
+an id are rows of one document, whose smallest reachable id is taken over each row's own links; an empty table gives an empty table;
+other columns are not looked at.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .graph import components
+from .graph import components, roots_of
 
 WORDS, PERCENT = 4, 85
-#: Words of 64 bits in a bitmap; classes in a leaf; children of a node; classes in a block.
-BITMAP, LEAF, FANOUT, BLOCK = 16, 32, 4, 4096
-#: A class leaves out one in DROP.
-DROP = 50
+#: Words of 64 bits in a bitmap; classes in a leaf; children of a node; classes in a block, and shingles of their sets.
+BITMAP, LEAF, FANOUT, BLOCK, BLOCK_SHINGLES = 16, 32, 4, 1024, 1 << 19
+#: Each band's largest size is GROWTH times that of the one below; a signature's last BAND_BITS bits are its band.
+GROWTH, BAND_BITS = 1.6, 6
 #: Member pairs that are compared at once; pairs held before they are cut to a spanning forest.
 AT_ONCE, HELD = 1 << 16, 1 << 20
 #: Hashes of words that a worker remembers.
 MEMORY = 250_000
+#: A signature of more members than this (estimated from one class in SAMPLED) is grouped by counts, not in one task.
+HOT, SAMPLED = 50_000, 64
 
 #: Odd multipliers, one for each place in a shingle, and those of the final mixing.
 PLACES = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) | 1 for i in range(1, 65)], np.uint64)
+_VALUE, _PART, _FIRST = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -77,13 +90,61 @@ def shingles(hashes: np.ndarray, width: int = WORDS) -> np.ndarray:
     return np.unique(mixed(out))
 
 
-def drops(n: int) -> int:
-    """How many of its most frequent first shingles a class of n leaves out."""
-    return n // DROP
-
-
-def prefix_length(n: int, percent: int) -> int:
-    return min(n, n - (percent * n + 99) // 100 + 1 + drops(n) + drops(100 * n // percent + 1))
+@lru_cache
+def band_tops() -> np.ndarray:
+    """The largest size of each band."""
+    tops = [1]
+    while len(tops) < 1 << BAND_BITS:
+        tops.append(max(tops[-1] + 1, int(tops[-1] * GROWTH)))
+    return np.array(tops, np.int64)
+
+
+@lru_cache
+def band_parts(percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per band: the number of parts, and how many of them a class may leave empty without further signatures."""
+    differ = 2 * band_tops() * (100 - percent) // (100 + percent)
+    spare = np.where(differ > 0, 2 + differ // 8, 0)
+    return differ + 1 + spare, spare
+
+
+def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
+    """Per set its signatures; any two sets that reach the threshold share one."""
+    n = np.array([len(s) for s in sets], np.int64)
+    first, last = (np.searchsorted(band_tops(), x) for x in (n, 100 * n // percent))
+    parts, spare = band_parts(percent)
+    out: list[list[np.ndarray]] = [[] for _ in sets]
+    for turn in range(int((last - first).max(initial=-1)) + 1):
+        mine = np.flatnonzero((n > 0) & (first + turn <= last))
+        band = first[mine] + turn
+        count = parts[band]
+        base = np.concatenate([[0], np.cumsum(count)])
+        doc = np.repeat(np.arange(len(mine)), n[mine])
+        h = mixed(np.concatenate([sets[i] for i in mine]) + (band.astype(np.uint64) * _PART)[doc]) if len(mine) else np.zeros(0, np.uint64)
+        part = h % count.astype(np.uint64)[doc]
+        cell = base[doc] + part.astype(np.int64)
+        sums = np.zeros(base[-1], np.uint64)
+        np.add.at(sums, cell, mixed(h ^ _VALUE))
+        filled = np.zeros(base[-1], bool)
+        filled[cell] = True
+        number = np.arange(base[-1]) - np.repeat(base[:-1], count)
+        name = sign(mixed(sums + number.astype(np.uint64) * _PART), np.repeat(band, count))
+        for k, i in enumerate(mine.tolist()):
+            here = slice(base[k], base[k + 1])
+            out[i].append(name[here][filled[here]])
+            if count[k] - len(out[i][-1]) > spare[band[k]]:
+                prefix = sets[i][: n[i] - (percent * n[i] + 99) // 100 + 1]
+                out[i].append(sign(mixed(prefix ^ _FIRST), band[k]))
+    return [np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in out]
+
+
+def sign(name: np.ndarray, band) -> np.ndarray:
+    return name >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | np.asarray(band).astype(np.uint64)
+
+
+def block_size(sig: Column) -> Column:
+    """How many classes of a signature's band make a block."""
+    sizes = [int(max(2, min(BLOCK, BLOCK_SHINGLES // top))) for top in band_tops()]
+    return F.element_at(F.array(*[F.lit(s) for s in sizes]), F.pmod(sig, F.lit(1 << BAND_BITS)).cast("int") + 1)
 
 
 def bitmap(found: np.ndarray, width: int = 64 * BITMAP) -> bytes:
@@ -107,8 +168,29 @@ def most_common(a: bytes, b: bytes, n: int, m: int) -> int:
     return int(np.bitwise_count(x & y).sum()) + slack
 
 
-def _text_sets(docs: DataFrame, id_col: str, text_col: str, width: int, whole: bool, percent: int) -> DataFrame:
-    """Per row: id, n, the set's 128-bit hash, and either the whole set or the bitmaps and the prefix."""
+def _text_facts(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Per row (row, id, text): row, id, n, the set's 128-bit hash, its bitmaps and signatures."""
+
+    class PerSlice:
+        def __init__(self):
+            import xxhash
+
+            self.words, self.digest = WordHasher(), xxhash.xxh3_128_digest
+
+        def __call__(self, batch):
+            sets = [shingles(self.words((t or "").encode().lower().split()), width) for t in batch.column("text").to_pylist()]
+            return {
+                "row": batch.column("row"), "id": batch.column("id"), "n": [len(s) for s in sets], "k": [self.digest(s.tobytes()) for s in sets],
+                "bits": [bitmap(s) for s in sets], "wide": [wide_bitmap(s) for s in sets], "sigs": signatures(sets, percent),
+            }
+
+    schema = f"row bigint, id {dict(docs.dtypes)['id']}, n bigint, k binary, bits binary, wide binary, sigs array<bigint>"
+    return common.map_texts(docs, PerSlice, schema)
+
+
+def _sets(texts: DataFrame, width: int, extra: str = "") -> DataFrame:
+    """Rows (node, k, text and the column `extra`, declared as in a schema) with tokens; only where k is the set's hash."""
+    name = extra.split(" ")[0]
 
     class PerSlice:
         def __init__(self):
@@ -117,81 +199,98 @@ def _text_sets(docs: DataFrame, id_col: str, text_col: str, width: int, whole: b
             self.words, self.digest = WordHasher(), xxhash.xxh3_128_digest
 
         def __call__(self, batch):
-            rows = {"n": [], "k": [], **({"tokens": []} if whole else {"bits": [], "wide": [], "prefix": []})}
-            for text in batch.column("text").to_pylist():
-                found = shingles(self.words((text or "").encode().lower().split()), width)
-                n = len(found)
-                rows["n"].append(n)
-                rows["k"].append(self.digest(found.tobytes()))
-                if whole:
-                    rows["tokens"].append(found.tobytes())
-                else:
-                    rows["bits"].append(bitmap(found))
-                    rows["wide"].append(wide_bitmap(found))
-                    rows["prefix"].append(found[: prefix_length(n, percent)].view(np.int64))
-            return {"id": batch.column("id")} | rows
-
-    schema = f"id {dict(docs.dtypes)[id_col]}, n bigint, k binary, " + ("tokens binary" if whole else "bits binary, wide binary, prefix array<bigint>")
-    return common.map_texts(docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text"), PerSlice, schema)
+            out: dict[str, list] = {c: [] for c in ["node", "tokens", name] if c}
+            for i, (node, k, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("node", "k", "text")))):
+                found = shingles(self.words((text or "").encode().lower().split()), width).tobytes()
+                if self.digest(found) == k:
+                    out["node"].append(node)
+                    out["tokens"].append(found)
+                    if name:
+                        out[name].append(batch.column(name)[i].as_py())
+            return out
+
+    return common.map_texts(texts, PerSlice, "node bigint, tokens binary" + (f", {extra}" if extra else ""))
 
 
 class Tree:
-    """Signature trees over the members of a group, level by level; level 0 is the members.
+    """Signature trees over all groups of a table, one above the other; level 0 is the members, the last level the roots.
 
-    `guest` marks members of the next smaller step: pairs of two guests are compared where they are at home.
+    sizes: members per group, which stand together. side: members of side 0 are compared with all, two of one other side never.
     """
 
-    def __init__(self, n: np.ndarray, comp: np.ndarray, bits: np.ndarray, guest: np.ndarray):
+    def __init__(self, n: np.ndarray, comp: np.ndarray, bits: np.ndarray, sizes: np.ndarray | None = None, side: np.ndarray | None = None):
         slack = n - np.bitwise_count(bits).sum(axis=1)
-        self.levels = [(bits, n, n, slack, comp, comp, guest)]
-        step = LEAF
-        while len(self.levels[-1][0]) > 1:
-            b, lo, hi, s, c, d, g = self.levels[-1]
-            at = np.arange(0, len(b), step)
-            self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(s, at), np.minimum.reduceat(c, at), np.maximum.reduceat(d, at), np.logical_and.reduceat(g, at)))
-            step = FANOUT
+        side = np.zeros(len(n), np.int64) if side is None else side
+        self.levels = [(bits, n, n, slack, comp, comp, side, side)]
+        self.below: list[np.ndarray] = []  # per level above 0: the first child of each node, and the end
+        sizes, step = np.array([len(n)]) if sizes is None else sizes, LEAF
+        while True:
+            nodes = -(-sizes // step)
+            group_at = np.cumsum(sizes) - sizes
+            at = np.repeat(group_at, nodes) + (np.arange(nodes.sum()) - np.repeat(np.cumsum(nodes) - nodes, nodes)) * step
+            b, lo, hi, s, c, d, e, f = self.levels[-1]
+            self.below.append(np.append(at, len(b)))
+            low, high = np.minimum.reduceat, np.maximum.reduceat
+            self.levels.append((np.bitwise_or.reduceat(b, at), low(lo, at), high(hi, at), high(s, at), low(c, at), high(d, at), low(e, at), high(f, at)))
+            if (nodes <= 1).all():
+                return
+            sizes, step = nodes, FANOUT
 
     def most(self, level: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The largest overlap that pairs of nodes may have."""
         b, _, hi, s, *_ = self.levels[level]
-        most = np.bitwise_count(b[x] & b[y]).sum(axis=1, dtype=np.int64) + np.minimum(s[x], s[y])
-        return np.minimum(most, np.minimum(hi[x], hi[y]))
+        out = np.empty(len(x), np.int64)
+        for k in range(0, len(x), AT_ONCE):
+            i, j = x[k : k + AT_ONCE], y[k : k + AT_ONCE]
+            out[k : k + AT_ONCE] = np.bitwise_count(b[i] & b[j]).sum(axis=1, dtype=np.int64) + np.minimum(s[i], s[j])
+        return np.minimum(out, np.minimum(hi[x], hi[y]))
 
     def possible(self, level: int, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
         """Which pairs of nodes may hold a link between two components."""
-        _, lo, hi, _, c, d, guest = self.levels[level]
-        ok = (100 * hi[x] >= percent * lo[y]) & (100 * hi[y] >= percent * lo[x]) & ~((c[x] == d[x]) & (c[y] == d[y]) & (c[x] == c[y])) & ~(guest[x] & guest[y])
+        _, lo, hi, _, c, d, e, f = self.levels[level]
+        one = (c[x] == d[x]) & (c[y] == d[y]) & (c[x] == c[y])
+        apart = (e[x] == f[x]) & (e[y] == f[y]) & (e[x] == e[y]) & (e[x] > 0)
+        ok = (100 * hi[x] >= percent * lo[y]) & (100 * hi[y] >= percent * lo[x]) & ~one & ~apart
         at = np.flatnonzero(ok)
-        for k in range(0, len(at), AT_ONCE):
-            i, j = x[at[k : k + AT_ONCE]], y[at[k : k + AT_ONCE]]
-            ok[at[k : k + AT_ONCE]] = (100 + percent) * self.most(level, i, j) >= percent * (lo[i] + lo[j])
+        i, j = x[at], y[at]
+        ok[at] = (100 + percent) * self.most(level, i, j) >= percent * (lo[i] + lo[j])
         return ok
 
     def candidates(self, percent: int):
         """Pairs of members that no bound rules out, in parts."""
         top = len(self.levels) - 1
-        work = [(top, np.array([0]), np.array([0]))]
+        roots = np.arange(len(self.levels[top][0]))
+        work = [(top, roots, roots)]
         while work:
             level, x, y = work.pop()
-            ok = self.possible(level, x, y, percent) if len(self.levels[0][0]) > 1 else np.zeros(len(x), bool)
+            ok = self.possible(level, x, y, percent)
             x, y = x[ok], y[ok]
             if level == 0:
                 yield x, y
                 continue
-            step = LEAF if level == 1 else FANOUT
-            below, limit = np.arange(step), len(self.levels[level - 1][0])
-            for k in range(0, len(x), max(1, AT_ONCE // step**2)):
-                i, j = (v[k : k + max(1, AT_ONCE // step**2)] for v in (x, y))
-                a = np.repeat(i[:, None] * step + below, step, axis=1).ravel()
-                b = np.tile(j[:, None] * step + below, (1, step)).ravel()
-                keep = (a < limit) & (b < limit) & (a <= b if level > 1 else a < b)
+            first = self.below[level - 1]
+            wide, high = first[x + 1] - first[x], first[y + 1] - first[y]
+            ends = np.cumsum(wide * high)
+            cut = 0
+            while cut < len(x):
+                # as many pairs as open into AT_ONCE pairs of children, and one at least
+                end = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + AT_ONCE, side="right")))
+                i, j, w, h = x[cut:end], y[cut:end], wide[cut:end], high[cut:end]
+                number = np.arange((w * h).sum()) - np.repeat(np.cumsum(w * h) - w * h, w * h)
+                per = np.repeat(h, w * h)
+                a, b = np.repeat(first[i], w * h) + number // per, np.repeat(first[j], w * h) + number % per
+                keep = a <= b if level > 1 else a < b
                 if keep.any():
                     work.append((level - 1, a[keep], b[keep]))
+                cut = end
 
+    def share(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        n = self.levels[0][1]
+        return self.most(0, x, y) / (n[x] + n[y])
 
     def forest(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """The candidates of a spanning forest of the components, chosen by the largest possible overlap."""
-        n, label = self.levels[0][1], np.unique(self.levels[0][4], return_inverse=True)[1]
+        label = np.unique(self.levels[0][4], return_inverse=True)[1]
         none = np.zeros(0, np.int64)
         x, y, held, count = none, none, [], 0
         for part in _and_end(self.candidates(percent)):
@@ -200,11 +299,31 @@ class Tree:
                 count += len(part[0])
             if count > HELD or part is None:
                 x, y = (np.concatenate([v, *[p[k] for p in held]]) for k, v in enumerate((x, y)))
-                share = np.concatenate([none, *[self.most(0, x[k : k + AT_ONCE], y[k : k + AT_ONCE]) for k in range(0, len(x), AT_ONCE)]]) / (n[x] + n[y])
-                best = spanning_forest(label[x], label[y], share)
+                best = spanning_forest(label[x], label[y], self.share(x, y))
                 x, y, held, count = x[best], y[best], [], 0
         return x, y
 
+    def links(self, percent: int, linked) -> tuple[np.ndarray, np.ndarray]:
+        """Links that join what is linked at all; linked(x, y) says which pairs of members are."""
+        label = np.unique(self.levels[0][4], return_inverse=True)[1]
+        root = np.arange(label.max() + 1)
+        found = []
+        for x, y in self.candidates(percent):
+            share = self.share(x, y)
+            while True:
+                keep = root[label[x]] != root[label[y]]
+                x, y, share = x[keep], y[keep], share[keep]
+                if not len(x):
+                    break
+                best = spanning_forest(root[label[x]], root[label[y]], share)
+                good = best[linked(x[best], y[best])]
+                found.append((x[good], y[good]))
+                root = roots_of(label[x[good]], label[y[good]], root)
+                rest = np.ones(len(x), bool)
+                rest[best] = False
+                x, y, share = x[rest], y[rest], share[rest]
+        return tuple(np.concatenate([np.zeros(0, np.int64), *[f[k] for f in found]]) for k in (0, 1))
+
 
 def spanning_forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Indices of the edges (a, b) of a spanning forest of the greatest weight; in each turn every tree takes its best edge."""
@@ -226,6 +345,11 @@ def spanning_forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndar
     return np.concatenate(chosen)
 
 
+def _and_end(batches):
+    yield from batches
+    yield None
+
+
 def _whole_groups(batches, keys: list[str]):
     """Tables of whole groups from record batches sorted by keys, with the index of each group's first row."""
     import pyarrow as pa
@@ -251,51 +375,52 @@ def _whole_groups(batches, keys: list[str]):
             yield table.slice(0, starts[-1]), starts[:-1]
 
 
-def _and_end(batches):
-    yield from batches
-    yield None
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets have in common."""
+    return np.fromiter((len(x) + len(y) - len(np.unique(np.concatenate([x, y]))) if len(x) != len(y) or not np.array_equal(x, y) else len(x) for x, y in zip(a, b)), np.int64, len(a))
 
 
-def _tree_candidates(members: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Candidate pairs (a, b) within the groups of members (t, s, x, y, node, n, root, guest, bits).
+def _reach(n: np.ndarray, m: np.ndarray, common_: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * common_ >= percent * (n + m - common_)
 
-    With `forest`, of each group of more than a leaf only a spanning forest, and nothing of the others.
-    """
-    keys = ["t", "s", "x", "y"]
+
+def _settled(blocks: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all linked classes of each block (sig, blk) of rows (node, tokens)."""
+    keys = ["sig", "blk"]
 
     def run(batches):
         import pyarrow as pa
 
-        def pairs(x, y):
-            return pa.RecordBatch.from_pydict({"a": np.maximum(x, y), "b": np.minimum(x, y)})
+        for table, starts in _whole_groups(batches, keys):
+            node = table.column("node").to_numpy()
+            sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in table.column("tokens")]
+            n = np.array([len(s) for s in sets], np.int64)
+            bits = np.frombuffer(b"".join(map(bitmap, sets)), np.uint64).reshape(-1, BITMAP)
+            tree = Tree(n, node, bits, np.diff(np.append(starts, len(n))))
+            x, y = tree.links(percent, lambda x, y: _reach(n[x], n[y], _overlaps([sets[i] for i in x], [sets[i] for i in y]), percent))
+            if len(x):
+                yield pa.RecordBatch.from_pydict({"a": np.maximum(node[x], node[y]), "b": np.minimum(node[x], node[y])})
+
+    return blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint")
+
+
+def _candidates(members: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Candidate pairs (a, b) within the groups of members (sig, x, y, node, n, root, side, bits); with `forest`, a spanning forest."""
+    keys = ["sig", "x", "y"]
+
+    def run(batches):
+        import pyarrow as pa
 
         for table, starts in _whole_groups(batches, keys):
-            n, root, node, guest = (table.column(c).to_numpy() for c in ("n", "root", "node", "guest"))
+            n, root, node, side = (table.column(c).to_numpy() for c in ("n", "root", "node", "side"))
             bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP)
             sizes = np.diff(np.append(starts, len(n)))
-            # groups of one leaf, all at once: a member with the next, the one after it, and so on
-            small = np.repeat(np.where(sizes <= LEAF, np.arange(len(sizes)), -1), sizes)
-            slack = n - np.bitwise_count(bits).sum(axis=1)
-            for step in range(1, LEAF if not forest else 1):
-                i = np.flatnonzero((small[step:] >= 0) & (small[step:] == small[:-step]))
-                if not len(i):
-                    break
-                j = i + step
-                fits = (root[i] != root[j]) & ~(guest[i] & guest[j]) & (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i])
-                i, j = i[fits], j[fits]
-                most = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64) + np.minimum(slack[i], slack[j])
-                fits = (100 + percent) * np.minimum(most, np.minimum(n[i], n[j])) >= percent * (n[i] + n[j])
-                if fits.any():
-                    yield pairs(node[i[fits]], node[j[fits]])
-            for k in np.flatnonzero(sizes > LEAF):
-                mine = slice(starts[k], starts[k] + sizes[k])
-                if (root[mine] == root[starts[k]]).all():
-                    continue
-                order = np.lexsort((n[mine], root[mine])) + starts[k]
-                tree = Tree(n[order], root[order], bits[order], guest[order])
-                for x, y in [tree.forest(percent)] if forest else tree.candidates(percent):
-                    if len(x):
-                        yield pairs(node[order[x]], node[order[y]])
+            order = np.lexsort((n, root, np.repeat(np.arange(len(sizes)), sizes)))
+            tree = Tree(n[order], root[order], bits[order], sizes, side[order].astype(np.int64))
+            for x, y in [tree.forest(percent)] if forest else tree.candidates(percent):
+                if len(x):
+                    x, y = node[order[x]], node[order[y]]
+                    yield pa.RecordBatch.from_pydict({"a": np.maximum(x, y), "b": np.minimum(x, y)})
 
     return members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -307,114 +432,127 @@ def _with_both(pairs: DataFrame, facts: DataFrame, columns: list[str]) -> DataFr
 
 
 def _possible_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that sizes and bitmaps allow."""
+    """Pairs that the wide bitmaps allow."""
 
     def run(batches):
+        import pyarrow as pa
+
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(f"bits_{s}").to_pylist()), np.uint64).reshape(-1, BITMAP) for s in "ab")
                 n, m = (batch.column(f"n_{s}").to_numpy() for s in "ab")
-                slack = np.minimum(n - np.bitwise_count(a).sum(axis=1), m - np.bitwise_count(b).sum(axis=1))
-                most = np.minimum(np.bitwise_count(a & b).sum(axis=1, dtype=np.int64) + slack, np.minimum(n, m))
-                good = (100 + percent) * most >= percent * (n + m)
-                wide = [batch.column(f"wide_{s}").to_pylist() for s in "ab"]
-                for i in np.flatnonzero(good):
-                    if wide[0][i] and wide[1][i]:
-                        good[i] = (100 + percent) * most_common(wide[0][i], wide[1][i], int(n[i]), int(m[i])) >= percent * (n[i] + m[i])
-                yield batch.select(["a", "b"]).filter(_mask(good))
-
-    return _with_both(pairs, classes, ["n", "bits", "wide"]).mapInArrow(run, "a bigint, b bigint")
-
-
-def _mask(values: np.ndarray):
-    import pyarrow as pa
+                good = np.ones(len(n), bool)
+                for i, (a, b) in enumerate(zip(*(batch.column(f"wide_{s}").to_pylist() for s in "ab"))):
+                    if a and b:
+                        good[i] = (100 + percent) * most_common(a, b, int(n[i]), int(m[i])) >= percent * (n[i] + m[i])
+                yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return pa.array(values)
+    return _with_both(pairs, classes, ["n", "wide"]).mapInArrow(run, "a bigint, b bigint")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose whole sets reach the threshold."""
 
     def run(batches):
+        import pyarrow as pa
+
         for batch in batches:
-            good = []
-            for a, b in zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist()):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                common_ = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * common_ >= percent * (len(x) + len(y) - common_))
-            yield batch.select(["a", "b"]).filter(_mask(np.array(good, bool)))
+            if batch.num_rows:
+                a, b = ([np.frombuffer(t.as_buffer(), np.uint64) for t in batch.column(f"tokens_{s}")] for s in "ab")
+                n, m = (np.array([len(s) for s in v], np.int64) for v in (a, b))
+                yield batch.select(["a", "b"]).filter(pa.array(_reach(n, m, _overlaps(a, b), percent)))
 
     return _with_both(pairs, sets, ["tokens"]).mapInArrow(run, "a bigint, b bigint")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def _members(scratch: common.Scratch, heads: DataFrame, hot_at: int) -> DataFrame:
+    """(sig, node, g, rep) of all classes that share a signature: the size of its group and the least class there."""
+    rows = heads.select("node", F.explode("sigs").alias("sig"))
+    sample = heads.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).select(F.explode("sigs").alias("sig"))
+    total = heads.agg(F.sum(F.size("sigs"))).first()[0] or 0
+    limit = max(hot_at, total // 100_000) // SAMPLED  # so at most about 100,000 signatures are hot
+    hot = scratch.save(sample.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select("sig"))
+    group = Window.partitionBy("sig")
+    cold = rows.join(F.broadcast(hot), "sig", "left_anti").withColumns({"g": F.count(F.lit(1)).over(group), "rep": F.min("node").over(group)})
+    warm = rows.join(F.broadcast(hot), "sig", "left_semi")
+    counts = warm.groupBy("sig").agg(F.count(F.lit(1)).alias("g"), F.min("node").alias("rep"))
+    found = cold.select("sig", "node", "g", "rep").unionByName(warm.join(F.broadcast(counts), "sig").select("sig", "node", "g", "rep"))
+    out = scratch.save(found.filter("g > 1"))
+    scratch.drop(hot)
+    return out
+
+
+def _homes(members: DataFrame) -> DataFrame:
+    """Per class: the blocks (sig, blk) in which it is compared first. Each class is in its largest group, the least of a group in all of its blocks."""
+    blocks = F.ceil(F.col("g") / block_size(F.col("sig")))
+    own = members.groupBy("node").agg(F.max(F.struct("g", "sig")).alias("h")).select("node", "h.g", "h.sig").withColumn("blk", F.pmod(F.xxhash64("node"), blocks))
+    split = members.withColumn("_blocks", blocks).filter("_blocks > 1 and node = rep").select("sig", "node", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("blk"))
+    return own.select("node", "sig", "blk").unionByName(split.select("node", "sig", "blk")).groupBy("node").agg(F.collect_set(F.struct("sig", "blk")).alias("homes"))
+
+
+def _open_blocks(members: DataFrame, roots: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """(sig, x, y, node, root, side) of members of groups with several components, dealt into pairs of blocks (x, y).
+
+    A component of more than a block makes blocks of its own, which meet all others but each other; smaller ones share blocks.
+    So a group that one component fills is copied no more often than the rest has blocks.
+    """
+    lead = members.join(common.counted_broadcast(roots, roots.count()), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = scratch.save(lead.groupBy("sig").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("sig"))
+    open_ = scratch.save(lead.join(common.counted_broadcast(several, several.count()), "sig", "left_semi").select("sig", "node", "root", "g", block_size(F.col("sig")).alias("most")))
+    small = open_.filter("g <= most").select("sig", F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("y"), "node", "root", F.lit(0).alias("side"))
+    large = open_.filter("g > most")
+    parts = large.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("_n"), F.first("most").alias("_most"), F.first("g").alias("_g"))
+    own = F.col("_n") > F.col("_most")
+    parts = scratch.save(parts.select(F.col("sig").alias("_sig"), F.col("root").alias("_root"), F.when(own, F.col("root")).alias("pure"), F.ceil(F.when(own, F.col("_n")).otherwise(F.col("_g")) / F.col("_most")).alias("_of")))
+    dealt = large.join(parts, (F.col("sig") == F.col("_sig")) & (F.col("root") == F.col("_root")))
+    dealt = dealt.withColumn("block", F.xxhash64("pure", F.pmod(F.xxhash64(F.when(F.col("pure").isNull(), F.col("root")).otherwise(F.col("node"))), F.col("_of"))))
+    dealt = scratch.save(dealt.select("sig", "node", "root", "pure", "block"))
+    blocks = scratch.save(dealt.select("sig", "pure", "block").distinct())
+    a, b = (blocks.select(F.col("sig").alias(f"sig_{k}"), F.col("pure").alias(f"pure_{k}"), F.col("block").alias(k)) for k in "ab")
+    meet = a.join(b, F.col("sig_a") == F.col("sig_b")).filter("a = b and pure_a is null or a <> b and not coalesce(pure_a = pure_b, false)")
+    meet = meet.select(F.col("sig_a").alias("sig"), F.col("a").alias("block"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    spread = dealt.join(meet, ["sig", "block"]).withColumn("side", F.expr("case when x = y then 0 when block = x then 1 else 2 end"))
+    return small.unionByName(spread.select("sig", "x", "y", "node", "root", "side"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, hot_at: int = HOT) -> DataFrame:
     """Per row: the id, n_shingles and component_id (the smallest id reachable by links)."""
+    scratch = common.Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    facts = common.saved(_text_sets(docs, "id", "text", width, False, percent))
+    facts = scratch.save(_text_facts(docs.withColumn("row", F.monotonically_increasing_id()), width, percent))
     filled = facts.filter("n > 0 and id is not null")
-    classes = filled.groupBy("k").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("size"))
-    classes = common.saved(classes.withColumn("node", F.monotonically_increasing_id()))
+    # a class is named by the row that is its head
+    classes = scratch.save(filled.groupBy("k").agg(F.min(F.struct("id", "row")).alias("head"), F.count(F.lit(1)).alias("size")).select("k", F.col("head.id").alias("cid"), F.col("head.row").alias("node"), "size"))
     many = classes.count()
-    heads = filled.join(common.counted_broadcast(classes.select("k", F.col("cid").alias("id"), "node"), many), ["k", "id"])
-    tokens = heads.select("node", "n", F.explode("prefix").alias("t"))
-    total = heads.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    frequent = common.saved(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("g")).filter("g > 1"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("g"), "t"))
-    members = common.join_groups(tokens, frequent, "t", "g", total).withColumn("_rank", rank).filter(F.col("_rank") > F.expr(f"n div {DROP}")).select("t", "node", "n")
-    members = common.saved(members)
-    groups = members.groupBy("t").agg(F.count(F.lit(1)).alias("g"), F.min(F.struct("n", "node")).alias("rep")).filter("g > 1")
-    members = common.saved(common.join_groups(members, common.saved(groups), "t", "g", total))
-    facts_of = heads.select("node", "n", "bits", "wide").dropDuplicates(["node"])
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = common.saved(classes.join(nodes, "node").select("node", F.col("cid").alias("id"), "k"))
-        many = wanted.count()
-        texts = docs.join(common.counted_broadcast(wanted.select("id").distinct(), many), "id", "left_semi")
-        found = _text_sets(texts, "id", "text", width, True, percent).select("id", "k", "tokens")
-        return common.saved(found.join(wanted, ["id", "k"]).select("node", "tokens").dropDuplicates(["node"]))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = common.saved(pairs)
-        return common.saved(_links(pairs, sets_of(pairs), percent))
-
-    fits = f"100 * least(n, rep.n) >= {percent} * greatest(n, rep.n) and node <> rep.node"
-    stars = members.filter(fits).select(F.greatest("node", "rep.node").alias("a"), F.least("node", "rep.node").alias("b")).distinct()
-    links = verified(_possible_pairs(stars, facts_of, percent))
-    roots = common.saved(components(links))
-
-    step = -float(np.log(percent / 100))
-
-    def between(roots: DataFrame, forest: bool) -> DataFrame:
-        """Links between components within the groups; with `forest`, those of spanning forests of groups of more than a leaf."""
-        lead = members.filter(F.col("g") > (LEAF if forest else 1)).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        lead = common.saved(lead.select("t", "node", "n", "g", "root"))
-        mixed_groups = lead.groupBy("t").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_size")).filter("_lo <> _hi").select("t", "_size")
-        open_ = common.join_groups(lead, common.saved(mixed_groups), "t", "_size", total)
-        # Linked sizes differ by one step at most: a class goes to its own step and, as the smaller, to the next.
-        open_ = open_.withColumn("_step", F.floor(F.log("n") / F.lit(step) + F.lit(1e-9))).withColumn("_blocks", F.ceil(F.col("g") / block)).withColumn("_own", F.pmod(F.xxhash64("node"), "_blocks"))
-        steps = F.explode(F.array(*[F.struct((F.col("_step") + k).alias("s"), F.lit(k == 1).alias("guest")) for k in (0, 1)]))
-        spread = open_.select("t", "node", "n", "root", "_own", "_blocks", steps.alias("_at")).select("t", "node", "n", "root", "_own", "_blocks", "_at.*")
-        live = spread.groupBy("t", "s").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min("guest").alias("_guests")).filter("_lo <> _hi and not _guests").select(F.col("t").alias("_t"), F.col("s").alias("_s"))
-        live = common.saved(live)
-        spread = spread.join(common.counted_broadcast(live, live.count()), (F.col("t") == F.col("_t")) & (F.col("s") == F.col("_s")), "left_semi")
-        spread = spread.select("t", "s", "node", "n", "root", "guest", "_own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_other"))
-        spread = spread.select("t", "s", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "node", "n", "root", "guest")
-        found = _tree_candidates(spread.join(facts_of.select("node", "bits"), "node"), percent, forest)
-        return verified(_possible_pairs(common.saved(found), facts_of, percent))
-
-    def grown(roots: DataFrame, forest: bool) -> DataFrame:
+    heads = facts.withColumnRenamed("row", "node").join(common.counted_broadcast(classes.select("node"), many), "node", "left_semi")
+    members = _members(scratch, heads, hot_at)
+
+    def with_texts(nodes: DataFrame) -> DataFrame:
+        """Rows of nodes with k and the text of the class."""
+        wanted = scratch.save(nodes.join(classes.select("node", F.col("cid").alias("id"), "k"), "node"))
+        return docs.join(common.counted_broadcast(wanted, wanted.count()), "id").drop("id")
+
+    homes = _sets(with_texts(_homes(members)), width, "homes array<struct<sig:bigint,blk:bigint>>").select("node", "tokens", F.explode("homes").alias("h")).select("h.sig", "h.blk", "node", "tokens")
+    links = scratch.save(_settled(homes, percent))
+    roots = scratch.save(components(scratch, links))
+    scratch.drop(links)
+
+    for forest in (True, False):
+        spread = scratch.save(_open_blocks(members, roots, scratch))
+        if not spread.limit(1).count():
+            break
+        pairs = scratch.save(_candidates(spread.join(heads.select("node", "n", "bits"), "node"), percent, forest))
+        scratch.drop(spread)
+        pairs = scratch.save(_possible_pairs(pairs, heads.select("node", "n", "wide"), percent))
+        sets = _sets(with_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), width).dropDuplicates(["node"])
+        links = scratch.save(_links(pairs, scratch.save(sets), percent))
         old = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        return components(between(roots, forest).unionByName(old))
-
-    roots = common.saved(grown(common.saved(grown(roots, True)), False))
-    named = classes.select("node", "k", "cid", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = common.saved(named)
-    least = named.filter("root <> node").groupBy("root").agg(F.min("cid").alias("_least"))
-    heads = named.join(least, "root", "left").select("k", "size", F.least("cid", F.coalesce("_least", "cid")).alias("_mine"), "root")
-    tops = heads.groupBy("root").agg(F.min("_mine").alias("component_id"))
-    by_class = common.saved(heads.join(tops, "root").select("k", "size", "component_id"))
+        roots = scratch.save(components(scratch, links.unionByName(old)))
 
+    named = classes.join(common.counted_broadcast(roots, roots.count()), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = scratch.save(named)
+    scratch.drop(members)
+    least = named.groupBy("root").agg(F.min("cid").alias("component_id"))
+    by_class = scratch.save(named.join(least, "root").select("k", "size", "component_id"))
     rows = facts.select("id", F.col("n").alias("n_shingles"), "k")
     alone = rows.filter("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
     joined = common.join_groups(rows.filter("n_shingles > 0 and id is not null"), by_class, "k", "size", facts.count()).select("id", "n_shingles", "component_id")

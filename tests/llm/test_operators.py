@@ -11,7 +11,7 @@ import zlib
 import pyarrow as pa
 import pytest
 
-from kmerloom.llm import audio, bpe, exact_dedup, jaccard, langid, mixing, mixlm, recompression, sharding, toxicity
+from kmerloom.llm import audio, bpe, common, exact_dedup, graph, jaccard, langid, mixing, mixlm, recompression, sharding, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -207,7 +207,7 @@ def test_toxicity(spark, none):
     assert toxicity.keep_clean(docs, model).filter("doc_id = 600").count() == 1
 
 
-def test_jaccard(spark, docs, none, rows):
+def test_jaccard(spark, docs, none, rows, monkeypatch):
     def sets(t):
         w = (t or "").encode().lower().split()
         return frozenset(tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))) if w else frozenset()
@@ -225,8 +225,9 @@ def test_jaccard(spark, docs, none, rows):
             if a < b and own[a] and own[b] and 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    for block in (jaccard.BLOCK, 2):
-        out = jaccard.jaccard_components(docs, block=block).collect()
+    for block, hot in ((jaccard.BLOCK, jaccard.HOT), (2, jaccard.HOT), (3, 0)):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        out = jaccard.jaccard_components(docs, hot_at=hot).collect()
         assert len(out) == len(rows)
         for r in out:
             assert (r.n_shingles, r.component_id) == (len(own[r.doc_id]), find(r.doc_id)), r
@@ -243,14 +244,17 @@ def test_tree_finds_all_pairs():
     sets += [draw.integers(0, 1 << 62, draw.integers(5, 90)).astype(np.uint64) for _ in range(150)]
     n = np.array([len(s) for s in sets])
     bits = np.frombuffer(b"".join(map(jaccard.bitmap, sets)), np.uint64).reshape(-1, jaccard.BITMAP)
-    at_home = np.zeros(len(sets), bool)
-    tree = jaccard.Tree(n, np.arange(len(sets)), bits, at_home)
+    tree = jaccard.Tree(n, np.arange(len(sets)), bits)
     found = {(int(a), int(b)) for x, y in tree.candidates(85) for a, b in zip(np.minimum(x, y), np.maximum(x, y))}
     linked = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * (o := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (n[a] + n[b] - o)}
     assert linked and linked <= found and len(found) < len(sets) ** 2 / 3
-    guest = np.arange(len(sets)) % 3 == 0
-    fewer = {(int(a), int(b)) for x, y in jaccard.Tree(n, np.arange(len(sets)), bits, guest).candidates(85) for a, b in zip(np.minimum(x, y), np.maximum(x, y))}
-    assert fewer == {(a, b) for a, b in found if not (guest[a] and guest[b])}
+    side = np.arange(len(sets)) % 3
+    fewer = {(int(a), int(b)) for x, y in jaccard.Tree(n, np.arange(len(sets)), bits, side=side).candidates(85) for a, b in zip(np.minimum(x, y), np.maximum(x, y))}
+    assert fewer == {(a, b) for a, b in found if not side[a] == side[b] > 0}
+    sizes = np.array([1, 40, 100, 9, 150])
+    group = np.repeat(np.arange(5), sizes)
+    inside = {(int(a), int(b)) for x, y in jaccard.Tree(n, np.arange(len(sets)), bits, sizes).candidates(85) for a, b in zip(np.minimum(x, y), np.maximum(x, y))}
+    assert inside == {(a, b) for a, b in found if group[a] == group[b]}
 
     def parts(pairs):
         root = list(range(len(sets)))
@@ -270,8 +274,47 @@ def test_tree_finds_all_pairs():
         assert len(forest) == len(sets) - parts(forest) and parts(forest) == parts(found)
     a, b, w = (np.array(v) for v in zip((0, 1, 5.0), (1, 2, 4.0), (0, 2, 3.0), (3, 4, 1.0), (3, 4, 2.0)))
     assert sorted(jaccard.spanning_forest(a.astype(int), b.astype(int), w).tolist()) == [0, 1, 4]
-    alone = jaccard.Tree(n[:1], np.zeros(1, int), bits[:1], at_home[:1])
+    alone = jaccard.Tree(n[:1], np.zeros(1, int), bits[:1])
     assert len(alone.forest(85)[0]) == 0
+    x, y = tree.links(85, lambda x, y: np.array([(min(a, b), max(a, b)) in linked for a, b in zip(x.tolist(), y.tolist())], bool))
+    assert parts(zip(x.tolist(), y.tolist())) == parts(linked)
+
+
+def test_linked_sets_share_a_signature():
+    np = jaccard.np
+    draw = np.random.default_rng(8)
+    for percent in (80, 85):
+        for size in [1, 2, 3, 5, 7, 9, 12, 16, 25, 40, 80, 200, 700] * 12:
+            pool = np.unique(draw.integers(0, 1 << 62, 2 * size + 9).astype(np.uint64))
+            draw.shuffle(pool)
+            most = size * (100 - percent) // 100
+            gone, new = (most, 0) if draw.random() < 0.3 else (0, 0) if draw.random() < 0.2 else (int(draw.integers(0, most + 1)), int(draw.integers(0, most + 1)))
+            a, b = np.sort(pool[:size]), np.sort(pool[gone : size + new])
+            if 100 * (size - gone) >= percent * (size + new):
+                x, y = jaccard.signatures([a, b], percent)
+                assert set(x.tolist()) & set(y.tolist()), (percent, size, gone, new)
+
+
+def test_sets_with_many_empty_parts_share_a_signature(monkeypatch):
+    np = jaccard.np
+    monkeypatch.setattr(jaccard, "band_parts", lambda percent: (np.full(64, 4000), np.zeros(64, np.int64)))
+    pool = np.sort(np.random.default_rng(1).integers(0, 1 << 62, 200).astype(np.uint64))
+    x, y = jaccard.signatures([pool, pool[10:]], 85)
+    band = 1 << jaccard.BAND_BITS
+    assert {int(s) for s in x} & {int(s) for s in y} and len(x) > 200 and len(set(x % band)) == 2
+
+
+def test_components(spark):
+    draw = random.Random(3)
+    pairs = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
+    root = {x: x for p in pairs for x in p}
+    for _ in pairs:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint").repartition(5)
+    for bound in (graph.AT_ONCE, 0):
+        got = {r.node: r.root for r in graph.components(common.Scratch(spark), edges, bound).collect()}
+        assert got == {x: root[x] for p in pairs for x in p if p[0] != p[1]}
 
 
 def test_language(spark, none):
