@@ -33,7 +33,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -48,8 +48,6 @@ GROWTH, BAND_BITS = 1.6, 6
 AT_ONCE, HELD = 1 << 16, 1 << 20
 #: Hashes of words that a worker remembers.
 MEMORY = 250_000
-#: A signature of more members than this (estimated from one class in SAMPLED) is grouped by counts, not in one task.
-HOT, SAMPLED = 50_000, 64
 
 #: Odd multipliers, one for each place in a shingle, and those of the final mixing.
 PLACES = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) | 1 for i in range(1, 65)], np.uint64)
@@ -467,15 +465,10 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _members(scratch: common.Scratch, heads: DataFrame, hot_at: int) -> DataFrame:
     """(sig, node, g, rep) of all classes that share a signature: the size of its group and the least class there."""
     rows = heads.select("node", F.explode("sigs").alias("sig"))
-    sample = heads.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).select(F.explode("sigs").alias("sig"))
+    sample = heads.filter(F.pmod(F.xxhash64("node"), F.lit(common.SAMPLED)) == 0).select(F.explode("sigs").alias("sig"))
     total = heads.agg(F.sum(F.size("sigs"))).first()[0] or 0
-    limit = max(hot_at, total // 100_000) // SAMPLED  # so at most about 100,000 signatures are hot
-    hot = scratch.save(sample.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select("sig"))
-    group = Window.partitionBy("sig")
-    cold = rows.join(F.broadcast(hot), "sig", "left_anti").withColumns({"g": F.count(F.lit(1)).over(group), "rep": F.min("node").over(group)})
-    warm = rows.join(F.broadcast(hot), "sig", "left_semi")
-    counts = warm.groupBy("sig").agg(F.count(F.lit(1)).alias("g"), F.min("node").alias("rep"))
-    found = cold.select("sig", "node", "g", "rep").unionByName(warm.join(F.broadcast(counts), "sig").select("sig", "node", "g", "rep"))
+    hot = common.hot_keys(scratch, sample, ["sig"], total, hot_at)
+    found = common.with_groups(rows, ["sig"], {"g": F.count(F.lit(1)), "rep": F.min("node")}, hot)
     out = scratch.save(found.filter("g > 1"))
     scratch.drop(hot)
     return out
@@ -514,7 +507,7 @@ def _open_blocks(members: DataFrame, roots: DataFrame, scratch: common.Scratch)
     return small.unionByName(spread.select("sig", "x", "y", "node", "root", "side"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, hot_at: int = HOT) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, hot_at: int = common.HOT) -> DataFrame:
     """Per row: the id, n_shingles and component_id (the smallest id reachable by links)."""
     scratch = common.Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -6,9 +6,10 @@ names without asking another: each round is global. A symbol knows the stretch o
 is a symbol (its reach), so any two equal windows have the same symbols wherever the reach lies inside.
 
 Of the symbols sure in a window, the one with the smallest hash is the window's anchor; a window without a sure symbol is
-its own. Equal windows have equal anchors, so only anchors are shuffled, and those that stay within one document end there.
-Stretches of windows of a shared anchor are then verified by their window hashes: equal stretches are a
-class, of which the smallest id is the source; between classes of one anchor the windows are compared one by one.
+its own. Equal windows have equal anchors, so only anchors are shuffled, once, and those that stay within one document end
+there. A stretch of windows of a shared anchor carries a hash of all its words: equal stretches are a class, of which the smallest id is
+the source. Only where an anchor has several classes are windows compared one by one, once for each class. Texts are read
+again only for the heads of such classes and for what is to be cut.
 
 Defined cases: a null text has no words; a text shorter than a window keeps all; rows with a null id keep all and remove nothing;
 rows that repeat an id do not remove each other's words; an empty table gives an empty table. Windows are told apart by a
@@ -159,11 +160,16 @@ def anchors(hashes: np.ndarray, barrier: np.ndarray, window: int = WINDOW) -> tu
 
 
 def _anchor_rows(rows: DataFrame) -> DataFrame:
-    """Per row (k, id, text): k, id, the number of words, their hash, and its anchors as names and packed places."""
+    """Per row (row, id, text): row, id, the number of words, their hashes, and its anchors as names, packed places and classes.
+
+    Stretches of one anchor and class hold the same windows around it.
+    """
 
     class PerSlice:
         def __init__(self):
-            self.words = WordHasher()
+            import xxhash
+
+            self.words, self.digest = WordHasher(), xxhash.xxh3_128_digest
 
         def __call__(self, batch):
             split = [(t or "").encode().split() for t in batch.column("text").to_pylist()]
@@ -173,21 +179,20 @@ def _anchor_rows(rows: DataFrame) -> DataFrame:
             barrier[ends - 1] = True
             hashes[~barrier] = self.words([w for ws in split for w in ws])
             name, begin, count, offset = anchors(hashes, barrier)
+            same = mixed(spans(hashes, begin, begin + count + WINDOW - 1) + offset.astype(np.uint64) * _WINDOW)
             doc = np.searchsorted(ends, begin, side="right")
             place = ((begin - (ends - size - 1)[doc]) << 16) | (count << 8) | offset
             cut = np.searchsorted(doc, np.arange(len(size) + 1))
-            names, places = name.view(np.int64), place
-            return {
-                "k": batch.column("k"), "id": batch.column("id"), "n_words": size, "sha": [sha256(b" ".join(w)).hexdigest() for w in split],
-                "names": [names[a:b] for a, b in zip(cut[:-1], cut[1:])], "places": [places[a:b] for a, b in zip(cut[:-1], cut[1:])],
-            }
+            whole = [b" ".join(w) for w in split]
+            parts = {c: [v[a:b] for a, b in zip(cut[:-1], cut[1:])] for c, v in (("names", name.view(np.int64)), ("places", place), ("classes", same.view(np.int64)))}
+            return {"row": batch.column("row"), "id": batch.column("id"), "n_words": size, "k": [self.digest(w) for w in whole], "sha": [sha256(w).hexdigest() for w in whole]} | parts
 
-    return common.map_texts(rows, PerSlice, f"k bigint, id {dict(rows.dtypes)['id']}, n_words bigint, sha string, names array<bigint>, places array<bigint>")
+    schema = f"row bigint, id {dict(rows.dtypes)['id']}, n_words bigint, k binary, sha string, names array<bigint>, places array<bigint>, classes array<bigint>"
+    return common.map_texts(rows, PerSlice, schema)
 
 
-def _stretches(rows: DataFrame) -> DataFrame:
-    """Per stretch in `wanted` (name, place) of a row: its class (hash of the stretch) and its window hashes."""
-    kind = dict(rows.dtypes)["id"]
+def _windows(rows: DataFrame) -> DataFrame:
+    """Per stretch in `wanted` (name, c, place) of a row (k, least, text): the hashes of its windows."""
 
     class PerSlice:
         def __init__(self):
@@ -196,85 +201,94 @@ def _stretches(rows: DataFrame) -> DataFrame:
             self.words, self.digest = WordHasher(), xxhash.xxh3_128_digest
 
         def __call__(self, batch):
-            out = {c: [] for c in ("k", "id", "name", "place", "c", "windows")}
-            for k, i, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("k", "id", "text", "wanted"))):
-                found = window_hashes(self.words((text or "").encode().split()))
+            out = {c: [] for c in ("name", "c", "least", "windows")}
+            for k, least, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("k", "least", "text", "wanted"))):
+                words = (text or "").encode().split()
+                if self.digest(b" ".join(words)) != k:
+                    continue
+                found = window_hashes(self.words(words))
                 for w in wanted:
-                    place = w["place"]
-                    begin, count, offset = place >> 16, place >> 8 & 255, place & 255
+                    begin, count, offset = w["place"] >> 16, w["place"] >> 8 & 255, w["place"] & 255
                     own = mixed(found[begin : begin + count] + np.arange(offset, offset - count, -1).astype(np.uint64) * _WINDOW)
-                    for c, v in zip(out, (k, i, w["name"], place, self.digest(w["name"].to_bytes(8, "little", signed=True) + own.tobytes()), own.view(np.int64))):
+                    for c, v in zip(out, (w["name"], w["c"], least, own.view(np.int64))):
                         out[c].append(v)
             return out
 
-    return common.map_texts(rows, PerSlice, f"k bigint, id {kind}, name bigint, place bigint, c binary, windows array<bigint>")
+    return common.map_texts(rows, PerSlice, f"name bigint, c bigint, least {dict(rows.dtypes)['least']}, windows array<bigint>")
+
+
+def _kept(rows: DataFrame, with_text: bool) -> DataFrame:
+    """Per row (id, text) with `cuts` (null, or per text hash k the windows that go): what is left of it."""
 
+    class PerSlice:
+        def __init__(self):
+            import xxhash
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """Per row with `cuts` (first window, number of windows): how many words go, and the hash of the others."""
+            self.digest = xxhash.xxh3_128_digest
 
-    def per_slice(batch):
-        out = {"k": batch.column("k"), "n_removed": [], "kept_sha256": [], "kept": []}
-        for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
-            words = (text or "").encode().split()
-            edge = np.zeros(len(words) + 1, np.int64)
-            for c in cuts:
-                edge[c["begin"]] += 1
-                edge[c["begin"] + c["count"] + WINDOW - 1] -= 1
-            stay = np.cumsum(edge)[:-1] == 0
-            text = b" ".join([w for w, s in zip(words, stay.tolist()) if s])
-            out["n_removed"].append(int(len(words) - stay.sum()))
-            out["kept_sha256"].append(sha256(text).hexdigest())
-            out["kept"].append(text.decode())
-        return out
+        def __call__(self, batch):
+            out: dict[str, list] = {"id": batch.column("id"), "k": [], "n_words": [], "n_removed": [], "kept_sha256": []} | ({"kept": []} if with_text else {})
+            for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
+                words = (text or "").encode().split()
+                k = self.digest(b" ".join(words))
+                edge = np.zeros(len(words) + 1, np.int64)
+                for c in next((c["cuts"] for c in cuts or () if c["k"] == k), ()):
+                    edge[c["begin"]] += 1
+                    edge[c["begin"] + c["count"] + WINDOW - 1] -= 1
+                stay = np.cumsum(edge)[:-1] == 0
+                left = b" ".join([w for w, s in zip(words, stay.tolist()) if s])
+                for c, v in (("k", k), ("n_words", len(words)), ("n_removed", int(len(words) - stay.sum())), ("kept_sha256", sha256(left).hexdigest())):
+                    out[c].append(v)
+                if with_text:
+                    out["kept"].append(left.decode())
+            return out
 
-    return common.map_texts(rows, per_slice, "k bigint, n_removed bigint, kept_sha256 string, kept string")
+    schema = f"id {dict(rows.dtypes)['id']}, k binary, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept string" if with_text else "")
+    return common.map_texts(rows.select("id", "text", "cuts"), PerSlice, schema)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, hot_at: int = common.HOT) -> DataFrame:
     """Per row: the id, n_words, n_removed, kept_sha256 and, with with_text, the kept words."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("k", F.xxhash64("id", "text")).select("k", "id", "text")
-    base = common.saved(_anchor_rows(rows))
-    found = base.filter("id is not null").select("k", "id", F.explode(F.arrays_zip(F.col("names").alias("name"), F.col("places").alias("place"))).alias("a")).select("k", "id", F.col("a.name").alias("name"), F.col("a.place").alias("place"))
+    scratch = common.Scratch(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = scratch.save(_anchor_rows(rows.withColumn("row", F.monotonically_increasing_id())))
     total = base.agg(F.sum(F.size("names"))).first()[0] or 0
-    shared = common.saved(found.groupBy("name").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("g")).filter("lo < hi").select("name", "g"))
-    wanted = common.join_groups(found, shared, "name", "g", total).groupBy("k").agg(F.collect_set(F.struct("name", "place")).alias("wanted"))
-    wanted = common.saved(wanted)
-
-    def with_rows(facts: DataFrame, column: str) -> DataFrame:
-        """Rows of the facts. Keys, and the facts as well if they are short, are broadcast where they were counted to be
-        within the bound; then only texts that have facts are shuffled, or none."""
-        many, entries = facts.agg(F.count(F.lit(1)), F.sum(F.size(column))).first()
-        own = rows.join(common.counted_broadcast(facts.select("k"), many), "k", "left_semi")
-        return own.join(common.counted_broadcast(facts, 4 * many + (entries or 0)), "k")
-
-    stretches = common.saved(_stretches(with_rows(wanted, "wanted")))
-    n = stretches.count()
-    classes = stretches.groupBy("c").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("g"), F.first("name").alias("name"))
-    classes = common.saved(classes)
-    several = common.saved(classes.groupBy("name").agg(F.count(F.lit(1)).alias("of")).filter("of > 1"))
-    open_ = common.join_groups(classes.drop("g"), several, "name", "of", n).select("c", "least")
-    heads = stretches.join(open_, "c").filter("id = least").groupBy("c").agg(F.first("name").alias("name"), F.first("least").alias("least"), F.first("windows").alias("windows"))
-    each = common.saved(heads).select("c", "name", "least", F.posexplode("windows").alias("i", "w"))
-    first = each.groupBy("name", "w").agg(F.min("least").alias("source"), F.max("least").alias("last"), F.count(F.lit(1)).alias("of")).filter("source < last")
-    first = common.saved(first.select(F.struct("name", "w").alias("window"), "source", "of"))
-    late = common.join_groups(each.select("c", "least", "i", F.struct("name", "w").alias("window")), first, "window", "of", each.count()).filter("source < least")
-    late = late.groupBy("c").agg(F.collect_list("i").alias("late"))
+
+    def grouped(table: DataFrame, keys: list[str], by: str, facts: dict) -> DataFrame:
+        sample = table.filter(F.pmod(F.xxhash64(by), F.lit(common.SAMPLED)) == 0).select(*keys)
+        return common.with_groups(table, keys, facts, common.hot_keys(scratch, sample, keys, total, hot_at))
+
+    zipped = F.explode(F.arrays_zip(F.col("names").alias("name"), F.col("places").alias("place"), F.col("classes").alias("c")))
+    found = base.filter("id is not null").select("row", "id", zipped.alias("a")).select("row", "id", "a.*")
+    shared = scratch.save(grouped(found, ["name"], "row", {"lo": F.min("id"), "hi": F.max("id")}).filter("lo < hi").select("row", "id", "name", "place", "c"))
+    stretches = scratch.save(grouped(shared, ["name", "c"], "row", {"least": F.min("id")}))
+    scratch.drop(shared)
+
+    # anchors with several classes: their windows are compared one by one, once for each class
+    classes = stretches.filter("id = least").groupBy("name", "c", "least").agg(F.min(F.struct("row", "place")).alias("head"))
+    open_ = grouped(classes, ["name"], "c", {"of": F.count(F.lit(1))}).filter("of > 1")
+    wanted = open_.groupBy(F.col("head.row").alias("row"), "least").agg(F.collect_list(F.struct("name", "c", F.col("head.place").alias("place"))).alias("wanted"))
+    wanted = scratch.save(wanted.join(base.select("row", "k"), "row").withColumn("id", F.col("least")))
+    entries = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
+    heads = scratch.save(_windows(rows.join(common.counted_broadcast(wanted.drop("row"), entries), "id")).dropDuplicates(["name", "c"]))
+    each = heads.select("name", "c", "least", F.posexplode("windows").alias("i", "w"))
+    late = grouped(each, ["name", "w"], "c", {"source": F.min("least")}).filter("source < least")
+    late = scratch.save(late.groupBy("name", "c").agg(F.collect_list("i").alias("late")))
+    scratch.drop(heads, wanted)
 
     begin = F.shiftright("place", 16)
-    cuts = common.join_groups(stretches.select("k", "id", "place", "c"), classes.select("c", "least", "g"), "c", "g", n)
-    whole = cuts.filter("id > least").select("k", begin.alias("begin"), F.shiftright("place", 8).bitwiseAND(255).alias("count"))
-    parts = cuts.filter("id = least").join(late, "c").select("k", begin.alias("begin"), F.explode("late").alias("i")).select("k", (F.col("begin") + F.col("i")).alias("begin"), F.lit(1).cast("bigint").alias("count"))
-    cuts = common.saved(whole.unionByName(parts).groupBy("k").agg(F.collect_set(F.struct("begin", "count")).alias("cuts")))
-    kept = _kept(with_rows(cuts, "cuts")).dropDuplicates(["k"])
-    if not with_text:
-        kept = kept.drop("kept")
-    out = base.select("k", "id", "n_words", "sha").join(kept, "k", "left")
-    out = out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *(["k", "kept"] if with_text else []))
-    if not with_text:
-        return out
-    plain = rows.select("k", F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), common.SPACE), lambda w: w != ""), " ").alias("_all")).dropDuplicates(["k"])
-    return out.join(plain, "k").withColumn("kept", F.coalesce("kept", "_all")).drop("k", "_all")
+    whole = stretches.filter("id > least").select("row", begin.alias("begin"), F.shiftright("place", 8).bitwiseAND(255).alias("count"))
+    parts = stretches.filter("id = least").join(late, ["name", "c"]).select("row", begin.alias("begin"), F.explode("late").alias("i")).select("row", (F.col("begin") + F.col("i")).alias("begin"), F.lit(1).cast("bigint").alias("count"))
+    cuts = whole.unionByName(parts).groupBy("row").agg(F.collect_list(F.struct("begin", "count")).alias("cuts"))
+    cuts = cuts.join(base.select("row", "id", "k"), "row").groupBy("id").agg(F.collect_list(F.struct("k", "cuts")).alias("cuts"), F.sum(F.size("cuts")).alias("_entries"))
+    cuts = scratch.save(cuts)
+    scratch.drop(stretches, late)
+    entries = cuts.agg(F.sum("_entries")).first()[0] or 0
+    kept = _kept(rows.join(common.counted_broadcast(cuts.drop("_entries"), entries), "id", "left" if with_text else "inner"), with_text)
+    if with_text:
+        return kept.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", "kept")
+    out = base.select("id", "k", "n_words", "sha").join(kept.drop("n_words").dropDuplicates(["id", "k"]), ["id", "k"], "left")
+    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
