@@ -225,7 +225,7 @@ def test_jaccard(spark, docs, none, rows, monkeypatch):
             if a < b and own[a] and own[b] and 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    for block, hot in ((jaccard.BLOCK, jaccard.HOT), (2, jaccard.HOT), (3, 0)):
+    for block, hot in ((jaccard.BLOCK, common.HOT), (2, common.HOT), (3, 0)):
         monkeypatch.setattr(jaccard, "BLOCK", block)
         out = jaccard.jaccard_components(docs, hot_at=hot).collect()
         assert len(out) == len(rows)
@@ -335,31 +335,115 @@ def test_language(spark, none):
 
 
 def test_mixing_model(docs, none, rows):
-    counts, own = collections.Counter(), {}
+    np = mixlm.np
+    counts, own, scores = collections.Counter(), {}, {}
     for i, t, *_ in rows:
         own[i] = [*(t or "").encode().lower().split(), None]
+    for i, *_ in rows:
         if zlib.crc32(str(i).encode()) % 7 != 2:
             counts.update(own[i])
     n, v = sum(counts.values()), len(counts)
-    out = mixlm.score_documents(docs).collect()
-    assert len(out) == len(rows)
-    for r in out:
-        mine = own[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(mine), sum(counts[w] > 0 for w in mine), n, zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
-        assert abs(r.base_score - sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in mine)) < 1e-6
-        assert r.score < 0 and r.bits_per_byte > 0
+    for unit in (mixlm.UNIT, 3):
+        out = mixlm.score_documents(docs, unit=unit, hot_at=mixlm.common.HOT if unit > 3 else 0).collect()
+        assert len(out) == len(rows)
+        for r in out:
+            mine = own[r.doc_id]
+            assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(mine), sum(counts[w] > 0 for w in mine), n, zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
+            assert abs(r.base_score - sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in mine)) < 1e-6
+            assert r.score < 0 and abs(r.bits_per_byte + r.score / math.log10(2) / sum(len(w or b"") + 1 for w in mine)) < 1e-9
+        scores[unit] = {r.doc_id: r.score for r in out}
+    held = [i for i in own if zlib.crc32(str(i).encode()) % 7 == 2]
+    one, two = (sum(scores[u][i] for i in held) for u in (mixlm.UNIT, 3))
+    assert abs(one / two - 1) < 0.1  # only the order in which the weights are learned differs
     assert mixlm.score_documents(none).count() == 0
+    low, context, name = mixlm.phrases(np.arange(1000).astype(np.uint64))
+    assert low[0] == 0 and (np.diff(low) > 0).all() and context[0] == 0 and (context[1:] == name[:-1]).all()
+
+
+def test_phrases_against_brute_force(spark, docs, rows):
+    np = mixlm.np
+    hasher = jaccard.WordHasher()
+    each = [mixlm.phrases(hasher([*mixlm.tokens(t), b""])) for _, t, *_ in rows]
+    train = [zlib.crc32(str(i).encode()) % 7 != 2 for i, *_ in rows]
+    after, hits = collections.Counter(), collections.Counter()
+    for (_, c, p), y in zip(each, train):
+        for k in range(1, len(c)):
+            after[c[k]] += y
+            hits[c[k], p[k]] += y
+    want, learned = {}, collections.defaultdict(list)
+    for i, ((_, c, p), y) in enumerate(zip(each, train)):
+        for k in range(1, len(c)):
+            n, m = after[c[k]] - y, hits[c[k], p[k]] - y
+            if n > 0:
+                want[i, k] = (n, m)
+                if y:
+                    learned[int(math.log2(n))].append(m > 0)
+    share = {g: (sum(x) + 0.5) / (len(x) + 1) for g, x in learned.items()}
+    table = spark.createDataFrame([(i, not y, [int(x) for x in c], [int(x) for x in p]) for i, ((_, c, p), y) in enumerate(zip(each, train))], "row bigint, held_out boolean, contexts array<bigint>, phrases array<bigint>")
+    for hot in (mixlm.common.HOT, 0):
+        got = {r.row: r for r in mixlm._phrase_bits(mixlm.common.Scratch(spark), table, hot).collect()}
+        assert set(got) == {i for i, _ in want} and any(m > 0 for _, m in want.values())
+        for i, r in got.items():
+            mine = {k: nm for (d, k), nm in want.items() if d == i}
+            assert sorted(r.copied) == [k for k, (_, m) in sorted(mine.items()) if m > 0]
+            cost = sum(math.log10(share.get(int(math.log2(n)), 0.5) * m / n if m else 1 - share.get(int(math.log2(n)), 0.5)) for n, m in mine.values())
+            assert abs(r.phrase_p - cost) < 1e-6
+
+
+def _score_of(words, counts, asked, cue=3):
+    """log10 probabilities of the asked words, each judged together with the training words."""
+    np = mixlm.np
+
+    class Top(mixlm.Beginnings):
+        def __init__(self):
+            self.first, self.longer = np.zeros((mixlm.CUES + 1, 1 << 16)), {}
+            for w, c in zip(words, counts):
+                for q in (cue, mixlm.CUES):
+                    self.first[q, int.from_bytes((w + b" \0")[:2], "big")] += c
+            self.sums = np.concatenate([[0.0], np.cumsum(self.first.ravel())])
+
+    seen = dict(zip(words, counts))
+    every = sorted({*words, *asked}, key=lambda w: w + b" ")
+    tables = [np.random.default_rng(1).integers(0, 5, (s, 2)).astype(np.float32) for s in mixlm.SLOTS]
+    total, mixer = np.zeros(len(every)), mixlm.Mixer()
+    for live, bit, gate, inputs in mixlm.decisions(b"", every, np.full(len(every), cue), np.array([seen.get(w, 0) for w in every]), tables, Top()):
+        p = mixer.probability(gate, inputs)
+        total[live] += np.log10(np.where(bit == 1, p, 1 - p))
+    return {w: x for w, x in zip(every, total) if w in asked}
 
 
 def test_bits_are_normalised():
-    """After any beginning the probabilities of 0 and 1 sum to 1: both are judged from the same inputs."""
+    """The probabilities of all continuations of a beginning sum to that of the beginning, however the words are dealt out."""
+    words, counts = [b"", b"a", b"ab", b"abc", b"b", b"the"], [3, 2, 1, 1, 4, 9]
+    asked = [bytes([x]) for x in range(256) if x != 0x20]
+    one = _score_of(words, counts, asked)
+    alone = {w: _score_of(words, counts, [w])[w] for w in (b"a", b"q", b"t")}
+    assert all(abs(one[w] - x) < 1e-9 for w, x in alone.items())
+    # "a" is closed by a blank: all second bytes after "a" together are as likely as "a" is at all
+    after = _score_of(words, counts, [b"a", *[b"a" + bytes([x]) for x in range(256) if x != 0x20]])
+    assert sum(10**x for x in one.values()) < 1 and 0 < sum(10**x for x in after.values()) < 1
+
+
+def test_split_beginnings_change_no_count(spark):
     np = mixlm.np
-    words = [b"", b"a", b"ab", b"abc", b"b"]
-    tables = [np.zeros((s, 2), np.float32) for s in mixlm.SLOTS]
-    top = np.zeros((mixlm.CUES + 1, 1 << 16))
-    nodes = {}
-    for live, bit, gate, inputs in mixlm.decisions(words, np.zeros(5, np.int64), np.array([3, 2, 1, 1, 4]), tables, top):
-        for i, x in zip(live.tolist(), inputs):
-            nodes.setdefault((i, len([k for k in nodes if k[0] == i])), x)
-    a, b = ([nodes[(i, k)].tolist() for k in range(16)] for i in (2, 3))
-    assert a == b
+    draw = random.Random(4)
+    words = sorted({"".join(draw.choice("abt") for _ in range(draw.randrange(0, 7))) for _ in range(150)})
+    rows = [(w.encode(), q, draw.randrange(0, 4), 5) for w in words for q in (1, 2) if draw.random() < 0.7]
+    pairs = spark.createDataFrame(rows, "word binary, cue bigint, c bigint, n bigint").repartition(3)
+    tables, found, units = [np.ones((s, 2), np.float32) for s in mixlm.SLOTS], [], []
+    for most in (4, 10**6):
+        top = mixlm.Beginnings(pairs, most)
+        table = pairs.withColumn("unit", top.unit()).orderBy("unit", "cue", mixlm._closed()).toPandas()
+        units.append({bytes(u) for u in table.unit})
+        batch = pa.RecordBatch.from_pandas(table.map(lambda x: bytes(x) if isinstance(x, bytearray) else x), preserve_index=False)
+        own = {}
+        for unit, w, cue, counts, _ in mixlm._chunks([batch], 20):
+            total = np.zeros(len(w))
+            for live, bit, gate, inputs in mixlm.decisions(unit, w, cue, counts, tables, top):
+                p = mixlm.Mixer().probability(gate, inputs)
+                total[live] += np.log10(np.where(bit == 1, p, 1 - p))
+            own |= dict(zip(zip(w, cue.tolist()), total.tolist()))
+        found.append(own)
+    assert max(map(len, units[0])) > 3 and max(map(len, units[1])) == 2
+    assert set(found[0]) == set(found[1]) and len(found[0]) == len(rows)
+    assert all(abs(found[0][k] - found[1][k]) < 1e-6 for k in found[0])
