@@ -22,4 +22,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_pareto_mixing": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op3_pareto_mixing": mixing.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_stratified_shards": sharding.ORACLE,
+        "op6_substring_dedup": recompression.ORACLE, "op9_signature_tree_join": jaccard.ORACLE,
+    }

@@ -293,3 +293,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(common.documents(spark, sf_dir), with_text=False)
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos, len(ws) AS n, ws FROM w),
+v AS (SELECT doc_id, pos, md5(array_to_string(ws[pos + 1 : pos + 50], ' ')) AS h FROM p WHERE pos + 50 <= n),
+f AS (SELECT h, min(doc_id) AS source FROM v GROUP BY h),
+g AS (SELECT doc_id, pos FROM v JOIN f USING (h) WHERE source < doc_id),
+c AS (SELECT p.doc_id, p.pos, word, max(g.pos) OVER (PARTITION BY p.doc_id ORDER BY p.pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.pos = p.pos),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""

@@ -10,6 +10,7 @@ import zlib
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from kmerloom.llm import audio, bpe, common, exact_dedup, graph, jaccard, langid, mixing, mixlm, recompression, sharding, toxicity
 
@@ -75,6 +76,41 @@ def test_audio(docs, none, rows):
     assert audio.resample(audio.np.ones(300, audio.np.float32), 2, 3)[20:-20].round(3).tolist() == [1.0] * 160
 
 
+def test_audio_against_brute_force():
+    """Resampling with stuffed zeros, frames and a mel bank one by one, and hysteresis as a loop."""
+    np = audio.np
+    raw = np.frombuffer(random.Random(2).randbytes(3000), np.uint8)
+    x = (raw.astype(float) - 128) / 128
+    phases = audio.polyphase_filter(audio.UP, audio.DOWN, audio.TAPS)
+    slow = []
+    for m in range(-(-len(x) * audio.UP // audio.DOWN)):
+        at, phase = m * audio.DOWN // audio.UP - audio.TAPS // 2, m * audio.DOWN % audio.UP
+        slow.append(sum(phases[phase, k] * x[at + k] for k in range(audio.TAPS) if 0 <= at + k < len(x)))
+    rate = audio.RATE * audio.UP / audio.DOWN
+    mel, energy = audio.features(raw, rate, 7)
+    assert np.allclose(audio.resample(x.astype(np.float32)), slow, atol=1e-4)
+    bank = audio.mel_bank(rate, audio.FRAME, audio.MELS)
+    assert len(mel) == max(1, math.ceil((len(slow) - audio.FRAME) / audio.HOP) + 1)
+    for i in range(len(mel)):
+        frame = np.zeros(audio.FRAME)
+        part = slow[i * audio.HOP : i * audio.HOP + audio.FRAME]
+        frame[: len(part)] = part
+        power = np.abs(np.fft.rfft(frame * np.hanning(audio.FRAME))) ** 2
+        assert np.allclose(mel[i], 10 * np.log10(power @ bank + 1e-6), atol=0.02) and abs(energy[i] - power.mean()) < 1e-3 * power.mean() + 1e-6
+    level = np.concatenate([np.random.default_rng(3).random(40) ** 4, np.ones(3), np.zeros(5)])
+    db, state, want = 10 * np.log10((level + 1e-9) / (level.mean() + 1e-9)), False, []
+    for i, d in enumerate(db):
+        if not state and d > audio.OPEN:
+            state = True
+            want.append([i, len(db)])
+        elif state and d < audio.CLOSE:
+            state = False
+            want[-1][1] = i
+    assert [list(s) for s in audio.segments(level)] == want
+    whole, _ = audio.features(raw, rate)
+    assert np.allclose(mel, whole, atol=1e-3)
+
+
 def test_exact_dedup(spark, docs, none, rows):
     import re
 
@@ -82,14 +118,15 @@ def test_exact_dedup(spark, docs, none, rows):
     groups = collections.defaultdict(list)
     for i, t, *_ in rows:
         groups[key(t)].append(i)
-    odd = docs.withColumnRenamed("n_chars", "KEPT")
+    odd = docs.withColumnRenamed("n_chars", "KEPT").withColumns({c: F.lit(7) for c in ("block0", "bits1", "maybe", "first", "row", "ID")})
     out = exact_dedup.exact_dedup(odd).collect()
-    assert len(out) == len(rows)
+    assert len(out) == len(rows) and all((r.block0, r.maybe, r.row, r.ID) == (7,) * 4 for r in out)
+    out += exact_dedup.exact_dedup(docs, most_cells=0).collect()  # a filter that is full: more rows are settled, not other ones
     for r in out:
         g = groups[key(r.text)]
         assert (r.keep_id, r.group_size, r.text_sha256) == (min(g), len(g), hashlib.sha256(key(r.text).encode()).hexdigest())
         assert not r.kept or r.doc_id == min(g)
-    assert sum(r.kept for r in out) == len(groups)
+    assert sum(r.kept for r in out) == 2 * len(groups)
     assert exact_dedup.exact_dedup(none).count() == 0
     ids = spark.createDataFrame([(None, "x"), (None, "x"), (None, "y"), (4, "y")], "doc_id bigint, text string")
     assert sorted((r.text, r.kept) for r in exact_dedup.exact_dedup(ids).collect()) == [("x", False), ("x", True), ("y", False), ("y", True)]
@@ -120,6 +157,29 @@ def test_mixing(docs, none, rows):
         taken[r.source] += r.taken
     assert all(abs(taken[s] - target[s]) <= max(20, 0.05 * target[s]) for s in order)
     assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, out)) and mixing.mix(none).count() == 0
+    odd = docs.withColumns({c: F.lit(7) for c in ("_u", "_v", "_p", "_whole", "_w", "row", "_ID")}).withColumn("SIZE", F.lit(1))
+    assert sorted((str(r.doc_id), r.text, r.taken) for r in mixing.mix(odd).collect() if r._u == r._p == r._ID == 7) == sorted((str(r.doc_id), r.text, r.taken) for r in out)
+
+
+def test_mixing_by_weights(spark):
+    draw = random.Random(6)
+    rows = [(i, " ".join(["w"] * draw.randrange(1, 30)), draw.choice("abc"), draw.choice([None, -1.0, 0.4, 1.0, 2.0, 5.0, 900.0])) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, weight double")
+    out = {r.doc_id: r for r in mixing.mix(docs, weight_col="weight", share=0.5).collect()}
+    whole = lambda w: min(64, max(0, round(w or 0)))
+    for source in "abc":
+        mine = [(i, len(t.split()), whole(w)) for i, t, s, w in rows if s == source]
+        target = out[mine[0][0]].target
+        low, high = 0.0, 100.0
+        for _ in range(200):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(n * min(2, level * w) for _, n, w in mine) < target else (low, level)
+        for i, _, w in mine:
+            assert math.floor(min(2, level * w) + 1e-9) <= out[i].copies + 1e-9 and out[i].copies <= math.ceil(min(2, level * w) - 1e-9)
+        assert abs(sum(out[i].taken for i, *_ in mine) - target) <= 30
+        # heavier documents are likelier
+        rate = [sum(out[i].copies for i, _, w in mine if w == x) / sum(w == x for *_, w in mine) for x in (0, 1, 2, 5, 64)]
+        assert rate == sorted(rate) and rate[0] == 0 < rate[-1]
 
 
 def test_sharding(docs, none, rows):
@@ -137,6 +197,9 @@ def test_sharding(docs, none, rows):
         counts = [sum(r.source == source for r in mine) for mine in shards.values()]
         assert max(counts) - min(counts) <= 2
     assert sharding.shard(none).count() == 0
+    odd = docs.withColumns({c: F.lit(7) for c in ("_u", "_skey", "_b", "row", "_id", "_of")}).withColumn("SIZE", F.lit(1))
+    again = sharding.shard(odd, 7).collect()
+    assert sorted((str(r.doc_id), r.shard, r.slot) for r in again if r._u == r._skey == r._b == r._of == 7) == sorted((str(r.doc_id), r.shard, r.slot) for r in out)
 
 
 def test_substring_dedup(docs, none, rows):
