@@ -6,7 +6,13 @@ chain of rising ranks, in characters, is the lookahead. Tokens that end further
 buffer are stable and emitted; the rest waits for more input. A word of any length needs a buffer of constant size.
 Decoding is a state machine as well: it takes one id at a time and emits text as soon as its bytes are complete.
 
-Defined cases: a null text is empty; an empty text has no tokens; text of special tokens becomes their ids, as in the library.
+A text is read block by block. A block ends before white space, or else inside a run of one kind of characters, which then is a
+word that the next block goes on with; words go through the transducer one after the other, and digests of ids and decoded text
+take what it emits at once. So besides the text itself a document of any length takes constant memory (the lists of ids and the
+decoded text, if they are wanted, grow with it).
+
+Defined cases: a null text is empty; an empty text has no tokens; text of special tokens becomes their ids, as in the library;
+null and repeated ids are rows like others; an empty table gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ import codecs
 import json
 import os
 import re
+import string
 import sys
 import unicodedata
 from functools import lru_cache
@@ -25,10 +32,10 @@ from pyspark.sql import DataFrame
 from . import common
 
 DEFAULT_FILE = "word_bpe_49k.json"
-#: Characters read into the buffer at once for words longer than this.
-CHUNK = 512
-#: Words whose tokens a worker remembers, and the longest of them.
-MEMORY, LONGEST = 100_000, 40
+#: Characters of a text read at once; those of a word added to the transducer's buffer at once.
+BLOCK, CHUNK = 1 << 16, 512
+#: Runs without white space whose tokens a worker remembers (twice as many at most), and the longest of them.
+MEMORY, LONGEST = 60_000, 40
 
 
 def vocabulary_path(name: str = DEFAULT_FILE) -> str:
@@ -64,6 +71,7 @@ def _classes(last: int = sys.maxunicode) -> dict[str, str]:
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+PUNCTUATION = frozenset(string.punctuation) - {"'"}
 NEVER = sys.maxsize
 
 
@@ -104,6 +112,55 @@ def sufficient_lookahead(merges: list[tuple[str, str]], suffix: str) -> int | No
     return longest
 
 
+class Transducer:
+    """Symbols of one word in, stable tokens out."""
+
+    def __init__(self, ranks: dict, lookahead: int | None, suffix: str, chunk: int = CHUNK):
+        self.ranks, self.lookahead, self.suffix, self.chunk, self.rest = ranks, lookahead, suffix, chunk, ""
+
+    def feed(self, mapped: str) -> list[str]:
+        out: list[str] = []
+        if self.lookahead is None:
+            self.rest += mapped
+            return out
+        for at in range(0, len(mapped), self.chunk):
+            self.rest += mapped[at : at + self.chunk]
+            if len(self.rest) <= self.chunk + self.lookahead:
+                continue
+            done = 0
+            for t in merge_tokens(list(self.rest), self.ranks):
+                if done + len(t) > len(self.rest) - self.lookahead:
+                    break
+                out.append(t)
+                done += len(t)
+            self.rest = self.rest[done:]
+        return out
+
+    def end(self) -> list[str]:
+        """The word's last tokens."""
+        return merge_tokens([*self.rest[:-1], self.rest[-1] + self.suffix], self.ranks)
+
+
+def safe_cut(text: str, low: int, high: int, markers: tuple[str, ...]) -> tuple[int, bool] | None:
+    """Where text can be cut between low (not included) and high, and whether a word goes on there; None if nowhere.
+
+    Neither normalisation nor the word pattern may look across: before ASCII white space, or inside a run of letters or of
+    ASCII punctuation, away from apostrophes and special tokens.
+    """
+    at = max(text.rfind(c, low + 1, high) for c in " \n\t\r")
+    if at > low:
+        return at, False
+    for at in range(high - 1, low, -1):
+        a, b = text[at - 1], text[at]
+        if b.isascii():
+            fits = a.isascii() and (a.isalpha() and b.isalpha() or a in PUNCTUATION and b in PUNCTUATION)
+        else:
+            fits = a.isalpha() and b.isalpha() and len(a.lower()) == len(b.lower()) == 1 and not "\u1100" <= b <= "\u11ff" and unicodedata.normalize("NFC", a + b) == a + b
+        if fits and "'" not in text[max(0, at - 3) : at + 3] and not any(text.find(m, max(0, at - len(m)), at + len(m)) >= 0 for m in markers):
+            return at, True
+    return None
+
+
 class Encoder:
     """Text to ids. Reads a BPE file with NFC, lower case, split words and byte-level symbols."""
 
@@ -134,59 +191,99 @@ class Encoder:
         self.decoder_spec = spec["decoder"]
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
         self.known: dict[str, tuple[str, int, str]] = {}
+        self.before: dict[str, tuple[str, int, str]] = {}
+
+    def lowered(self, text: str) -> str | None:
+        """Normalised text; None where it has characters newer than this Python's tables."""
+        composed = unicodedata.normalize("NFC", text)
+        if self.unassigned[bool(self.astral.search(composed))].search(composed):
+            return None
+        return composed.replace("Σ", "σ").lower()  # a final sigma is no special case there
 
     def split(self, text: str) -> list[str]:
-        """Normalised text as words of byte symbols. Characters newer than this Python's tables: by the file's own rules."""
+        """Text as words of byte symbols. Characters newer than this Python's tables: by the file's own rules."""
         if text.isascii() and not self.unprinted.search(text):
             return self.words[0].findall(text.lower())
-        composed = unicodedata.normalize("NFC", text)
-        astral = bool(self.astral.search(composed))
-        if self.unassigned[astral].search(composed):
+        low = self.lowered(text)
+        if low is None:
             return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
-        low = composed.replace("Σ", "σ").lower()  # a final sigma is no special case there
-        return ["".join([self.symbols[b] for b in w.encode()]) for w in self.words[1 + astral].findall(low)]
+        return ["".join([self.symbols[b] for b in w.encode()]) for w in self.words[1 + bool(self.astral.search(low))].findall(low)]
 
     def word_tokens(self, mapped: str, chunk: int = CHUNK) -> list[str]:
-        """Tokens of one word of byte symbols, streamed through a buffer of lookahead + chunk."""
-        out: list[str] = []
-        rest, at = "", 0
-        room = chunk + self.lookahead if self.lookahead else len(mapped)
-        while len(mapped) - at > room - len(rest) and self.lookahead:
-            buffer = rest + mapped[at : at + max(chunk, room - len(rest))]
-            at += len(buffer) - len(rest)
-            done = 0
-            for t in merge_tokens(list(buffer), self.ranks):
-                if done + len(t) > len(buffer) - self.lookahead:
+        """Tokens of one word of byte symbols."""
+        word = Transducer(self.ranks, self.lookahead, self.suffix, chunk)
+        return word.feed(mapped) + word.end()
+
+    def found(self, tokens: list[str]) -> tuple[str, int, str]:
+        """Ids as text, their number, and (without a decoder in the file) the decoded text."""
+        ids = [self.vocab[t] for t in tokens]
+        return " ".join(map(str, ids)), len(ids), "" if self.decoder_spec else Decoder(self).all(ids)
+
+    def run_tokens(self, run: str) -> tuple[str, int, str]:
+        """The same of a run of normalised characters without white space; short runs are remembered, in two generations."""
+        known = self.before.get(run)
+        if known is None:
+            kind = 0 if run.isascii() else 1 + bool(self.astral.search(run))
+            words = self.words[kind].findall(run)
+            if kind:
+                words = ["".join([self.symbols[b] for b in w.encode()]) for w in words]
+            known = self.found([t for w in words for t in self.word_tokens(w)])
+        if len(run) <= LONGEST:
+            if len(self.known) >= MEMORY:
+                self.known, self.before = {}, self.known
+            self.known[run] = known
+        return known
+
+    def parts(self, block: str) -> list:
+        """Words (of byte symbols) of a block, and special tokens as tuples."""
+        out: list = []
+        for part in self.markers.split(block) if self.markers and "<" in block else (block,):
+            out += [(part,)] if part in self.special else self.split(part)
+        return out
+
+    def block_tokens(self, block: str) -> list[tuple[str, int, str]]:
+        """What is found in a block whose first and last word are whole."""
+        if not (self.markers and "<" in block and self.markers.search(block)) and not self.unprinted.search(block):
+            low = block.lower() if block.isascii() else self.lowered(block)
+            if low is not None:
+                known, work = self.known.get, self.run_tokens
+                return [known(run) or work(run) for run in low.split()]
+        return [self.part_tokens(p) for p in self.parts(block)]
+
+    def part_tokens(self, part) -> tuple[str, int, str]:
+        return (str(self.special[part[0]]), 1, part[0]) if isinstance(part, tuple) else self.found(self.word_tokens(part))
+
+    def stream(self, text: str, block: int = BLOCK):
+        """Lists of what is found, block by block."""
+        at, word, special = 0, None, tuple(self.special)
+        while at < len(text):
+            end, goes_on, size = len(text), False, block
+            while at + size < len(text):
+                cut = safe_cut(text, at, at + size, special)
+                if cut:
+                    end, goes_on = cut
                     break
-                out.append(t)
-                done += len(t)
-            rest = buffer[done:]
-        last = rest + mapped[at:]
-        return out + merge_tokens([*last[:-1], last[-1] + self.suffix], self.ranks)
-
-    def pieces(self, text: str):
-        """Per word or special token: ids as text, their number, and the decoded text."""
-        for part in self.markers.split(text) if self.markers and "<" in text else (text,):
-            if part in self.special:
-                yield str(self.special[part]), 1, part
+                size *= 2
+            part, at = text[at:end], end
+            if word is None and not goes_on:
+                yield self.block_tokens(part)
                 continue
-            for word in self.split(part):
-                found = self.known.get(word)
-                if found is None:
-                    found = self._work_out(word)
-                yield found
-
-    def _work_out(self, word: str) -> tuple[str, int, str]:
-        ids = [self.vocab[t] for t in self.word_tokens(word)]
-        found = (" ".join(map(str, ids)), len(ids), Decoder(self).all(ids))
-        if len(word) <= LONGEST:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            self.known[word] = found
-        return found
-
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _, _ in self.pieces(text) for i in ids.split(" ")]
+            parts, out = self.parts(part), []
+            if word is not None:
+                out.append(self.found(word.feed(parts.pop(0))))
+                if parts or not goes_on:
+                    out.append(self.found(word.end()))
+                    word = None
+            if goes_on and word is None:
+                word, last = Transducer(self.ranks, self.lookahead, self.suffix), parts.pop()
+                out += [self.part_tokens(p) for p in parts]
+                out.append(self.found(word.feed(last)))
+            else:
+                out += [self.part_tokens(p) for p in parts]
+            yield [x for x in out if x[1]]
+
+    def encode(self, text: str, block: int = BLOCK) -> list[int]:
+        return [int(i) for found in self.stream(text, block) for ids, _, _ in found for i in ids.split(" ")]
 
 
 class Decoder:
@@ -235,16 +332,29 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
         if with_ids:
             rows |= {"ids": [], "decoded": []}
         for text in batch.column("text").to_pylist():
-            found = list(e.pieces(text or ""))
-            ids, decoded = " ".join([x[0] for x in found]), " ".join([x[2] for x in found]) if e.decoder_spec is None else None
-            if decoded is None:
-                decoded = Decoder(e).all([int(i) for i in ids.split()])
-            rows["n_tokens"].append(sum([x[1] for x in found]))
-            rows["ids_sha256"].append(sha256(ids.encode()).hexdigest())
-            rows["decoded_sha256"].append(sha256(decoded.encode()).hexdigest())
+            n, ids_sha, text_sha, decoder, ids, decoded = 0, sha256(), sha256(), Decoder(e), [], []
+            for found in e.stream(text or ""):
+                if not found:
+                    continue
+                part = " ".join([x[0] for x in found])
+                if e.decoder_spec:
+                    plain = "".join([decoder.feed(int(i)) for i in part.split()])
+                else:
+                    plain = " " * (n > 0) + " ".join([x[2] for x in found])
+                ids_sha.update((" " * (n > 0) + part).encode())
+                text_sha.update(plain.encode())
+                n += sum([x[1] for x in found])
+                if with_ids:
+                    ids += map(int, part.split())
+                    decoded.append(plain)
+            last = decoder.end()
+            text_sha.update(last.encode())
+            rows["n_tokens"].append(n)
+            rows["ids_sha256"].append(ids_sha.hexdigest())
+            rows["decoded_sha256"].append(text_sha.hexdigest())
             if with_ids:
-                rows["ids"].append([int(i) for i in ids.split()])
-                rows["decoded"].append(decoded)
+                rows["ids"].append(ids)
+                rows["decoded"].append("".join(decoded) + last)
         return rows
 
     kind = dict(docs.dtypes)[id_col]

@@ -128,20 +128,26 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
 HOT, SAMPLED = 50_000, 64
 
 
-def hot_keys(scratch: "Scratch", sample: DataFrame, keys: list[str], total: int, most: int = HOT) -> DataFrame:
-    """The keys of groups of over `most` rows, judged by a sample of one in SAMPLED; at most about 100,000 keys."""
+def hot_keys(scratch: "Scratch", sample: DataFrame, keys: list[str], total: int, most: int = HOT) -> DataFrame | None:
+    """The keys of groups of over `most` rows, judged by a sample of one in SAMPLED; at most about 100,000 keys, or None."""
     limit = max(most, total // 100_000) // SAMPLED
-    return scratch.save(sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys))
+    if total <= most:
+        return None
+    found = scratch.save(sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys))
+    return found if found.limit(1).count() else None
 
 
-def with_groups(rows: DataFrame, keys: list[str], facts: dict[str, Column], hot: DataFrame) -> DataFrame:
+def with_groups(rows: DataFrame, keys: list[str], facts: dict[str, Column], hot: DataFrame | None) -> DataFrame:
     """rows with the aggregates `facts` of their group.
 
     The rows of groups in `hot` stay where they are: their aggregates are made before the shuffle and broadcast, one for each hot
     key. All others take one shuffle, in which no group is large.
     """
     group = Window.partitionBy(*keys)
-    cold = rows.join(F.broadcast(hot), keys, "left_anti").withColumns({n: a.over(group) for n, a in facts.items()})
+    cold = rows if hot is None else rows.join(F.broadcast(hot), keys, "left_anti")
+    cold = cold.withColumns({n: a.over(group) for n, a in facts.items()})
+    if hot is None:
+        return cold
     warm = rows.join(F.broadcast(hot), keys, "left_semi")
     sums = warm.groupBy(*keys).agg(*[a.alias(n) for n, a in facts.items()])
     return cold.unionByName(warm.join(F.broadcast(sums), keys).select(cold.columns))

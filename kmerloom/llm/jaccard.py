@@ -469,9 +469,7 @@ def _members(scratch: common.Scratch, heads: DataFrame, hot_at: int) -> DataFram
     total = heads.agg(F.sum(F.size("sigs"))).first()[0] or 0
     hot = common.hot_keys(scratch, sample, ["sig"], total, hot_at)
     found = common.with_groups(rows, ["sig"], {"g": F.count(F.lit(1)), "rep": F.min("node")}, hot)
-    out = scratch.save(found.filter("g > 1"))
-    scratch.drop(hot)
-    return out
+    return scratch.save(found.filter("g > 1"))
 
 
 def _homes(members: DataFrame) -> DataFrame:

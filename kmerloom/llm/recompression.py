@@ -192,7 +192,7 @@ def _anchor_rows(rows: DataFrame) -> DataFrame:
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """Per stretch in `wanted` (name, c, place) of a row (k, least, text): the hashes of its windows."""
+    """Per window of the stretches in `wanted` (name, place) of a row (row, id, k, text): the name, its place and hash."""
 
     class PerSlice:
         def __init__(self):
@@ -201,8 +201,9 @@ def _windows(rows: DataFrame) -> DataFrame:
             self.words, self.digest = WordHasher(), xxhash.xxh3_128_digest
 
         def __call__(self, batch):
-            out = {c: [] for c in ("name", "c", "least", "windows")}
-            for k, least, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("k", "least", "text", "wanted"))):
+            out = {c: [np.zeros(0, np.int64)] for c in ("row", "name", "begin", "w")}
+            number = [np.zeros(0, np.int64)]
+            for i, (row, k, text, wanted) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("row", "k", "text", "wanted")))):
                 words = (text or "").encode().split()
                 if self.digest(b" ".join(words)) != k:
                     continue
@@ -210,11 +211,12 @@ def _windows(rows: DataFrame) -> DataFrame:
                 for w in wanted:
                     begin, count, offset = w["place"] >> 16, w["place"] >> 8 & 255, w["place"] & 255
                     own = mixed(found[begin : begin + count] + np.arange(offset, offset - count, -1).astype(np.uint64) * _WINDOW)
-                    for c, v in zip(out, (w["name"], w["c"], least, own.view(np.int64))):
+                    number.append(np.full(count, i))
+                    for c, v in zip(out, (np.full(count, row), np.full(count, w["name"]), np.arange(begin, begin + count), own.view(np.int64))):
                         out[c].append(v)
-            return out
+            return {"id": batch.column("id").take(np.concatenate(number))} | {c: np.concatenate(v) for c, v in out.items()}
 
-    return common.map_texts(rows, PerSlice, f"name bigint, c bigint, least {dict(rows.dtypes)['least']}, windows array<bigint>")
+    return common.map_texts(rows, PerSlice, f"id {dict(rows.dtypes)['id']}, row bigint, name bigint, begin bigint, w bigint")
 
 
 def _kept(rows: DataFrame, with_text: bool) -> DataFrame:
@@ -258,33 +260,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sample = table.filter(F.pmod(F.xxhash64(by), F.lit(common.SAMPLED)) == 0).select(*keys)
         return common.with_groups(table, keys, facts, common.hot_keys(scratch, sample, keys, total, hot_at))
 
+    def with_rows(facts: DataFrame) -> DataFrame:
+        """Rows of the facts' ids. The ids are broadcast where they were counted to be within the bound; then only texts that have facts are shuffled."""
+        return rows.join(common.counted_broadcast(facts.select("id").distinct(), facts.count()), "id", "left_semi").join(facts, "id")
+
     zipped = F.explode(F.arrays_zip(F.col("names").alias("name"), F.col("places").alias("place"), F.col("classes").alias("c")))
     found = base.filter("id is not null").select("row", "id", zipped.alias("a")).select("row", "id", "a.*")
     shared = scratch.save(grouped(found, ["name"], "row", {"lo": F.min("id"), "hi": F.max("id")}).filter("lo < hi").select("row", "id", "name", "place", "c"))
     stretches = scratch.save(grouped(shared, ["name", "c"], "row", {"least": F.min("id")}))
     scratch.drop(shared)
 
-    # anchors with several classes: their windows are compared one by one, once for each class
-    classes = stretches.filter("id = least").groupBy("name", "c", "least").agg(F.min(F.struct("row", "place")).alias("head"))
-    open_ = grouped(classes, ["name"], "c", {"of": F.count(F.lit(1))}).filter("of > 1")
-    wanted = open_.groupBy(F.col("head.row").alias("row"), "least").agg(F.collect_list(F.struct("name", "c", F.col("head.place").alias("place"))).alias("wanted"))
-    wanted = scratch.save(wanted.join(base.select("row", "k"), "row").withColumn("id", F.col("least")))
-    entries = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
-    heads = scratch.save(_windows(rows.join(common.counted_broadcast(wanted.drop("row"), entries), "id")).dropDuplicates(["name", "c"]))
-    each = heads.select("name", "c", "least", F.posexplode("windows").alias("i", "w"))
-    late = grouped(each, ["name", "w"], "c", {"source": F.min("least")}).filter("source < least")
-    late = scratch.save(late.groupBy("name", "c").agg(F.collect_list("i").alias("late")))
-    scratch.drop(heads, wanted)
-
-    begin = F.shiftright("place", 16)
-    whole = stretches.filter("id > least").select("row", begin.alias("begin"), F.shiftright("place", 8).bitwiseAND(255).alias("count"))
-    parts = stretches.filter("id = least").join(late, ["name", "c"]).select("row", begin.alias("begin"), F.explode("late").alias("i")).select("row", (F.col("begin") + F.col("i")).alias("begin"), F.lit(1).cast("bigint").alias("count"))
-    cuts = whole.unionByName(parts).groupBy("row").agg(F.collect_list(F.struct("begin", "count")).alias("cuts"))
-    cuts = cuts.join(base.select("row", "id", "k"), "row").groupBy("id").agg(F.collect_list(F.struct("k", "cuts")).alias("cuts"), F.sum(F.size("cuts")).alias("_entries"))
+    # anchors with several classes: their windows are compared one by one, where a class is first
+    firsts = grouped(stretches.filter("id = least").select("row", "id", "name", "c", "place"), ["name"], "c", {"lo": F.min("c"), "hi": F.max("c")}).filter("lo <> hi")
+    wanted = firsts.groupBy("row", "id").agg(F.collect_list(F.struct("name", "place")).alias("wanted"))
+    wanted = scratch.save(wanted.join(base.select("row", "k"), "row"))
+    each = _windows(with_rows(wanted))
+    late = scratch.save(grouped(scratch.save(each), ["name", "w"], "row", {"source": F.min("id")}).filter("source < id").select("row", "begin"))
+    whole = stretches.filter("id > least").select("row", F.shiftright("place", 16).alias("begin"), F.shiftright("place", 8).bitwiseAND(255).alias("count"))
+    cuts = whole.unionByName(late.withColumn("count", F.lit(1).cast("bigint"))).groupBy("row").agg(F.collect_list(F.struct("begin", "count")).alias("cuts"))
+    cuts = cuts.join(base.select("row", "id", "k"), "row").groupBy("id").agg(F.collect_list(F.struct("k", "cuts")).alias("cuts"))
     cuts = scratch.save(cuts)
-    scratch.drop(stretches, late)
-    entries = cuts.agg(F.sum("_entries")).first()[0] or 0
-    kept = _kept(rows.join(common.counted_broadcast(cuts.drop("_entries"), entries), "id", "left" if with_text else "inner"), with_text)
+    scratch.drop(stretches, late, wanted)
+    kept = _kept(rows.join(cuts, "id", "left") if with_text else with_rows(cuts), with_text)
     if with_text:
         return kept.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", "kept")
     out = base.select("id", "k", "n_words", "sha").join(kept.drop("n_words").dropDuplicates(["id", "k"]), ["id", "k"], "left")

@@ -245,6 +245,49 @@ def test_bpe(docs, none, rows):
     assert bpe.encode_documents(none).count() == 0
 
 
+def test_bpe_blocks():
+    """However a text falls into blocks, its ids are those of the library."""
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary_path()
+    t, e = Tokenizer.from_file(path), bpe.encoder(path)
+    t.no_truncation()
+    draw = random.Random(9)
+    pieces = ["the", "they're", "'ll", "'", "!!", "...", "12", "é", "e\u0301", "İ", "Σς", "日本語", "한국", "\u1112\u1161\u11ab", "<|endoftext|>", "<|", " ", "\n", "𝄞", "\x00", "ｗ", "½", "don't", "x", "ñandú"]
+    texts = ["".join(draw.choice(pieces) for _ in range(draw.randrange(1, 60))) for _ in range(300)]
+    texts += ["a" * 400, "ab" * 300 + "'re" + "b" * 300, "!" * 500, "日本" * 200, "1" * 300, "don't" * 80, "\u0301" * 100, "x<|endoftext|>" * 30]
+    for text in texts:
+        want = t.encode(text, add_special_tokens=False).ids
+        for block in (3, 16, 70):
+            assert e.encode(text, block) == want, (text, block)
+
+
+def test_bpe_takes_constant_memory():
+    import tracemalloc
+
+    e = bpe.encoder(bpe.vocabulary_path())
+    e.encode("warm up")
+    text = "abcde fghij " * 50_000 + "abcdefghijklmnop" * 20_000
+    bound = []
+    for many in (1, 4):
+        long, n = text * many, 0
+        tracemalloc.start()
+        for found in e.stream(long):
+            n += sum(x[1] for x in found)
+        bound.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert n > 200_000 * many
+    assert bound[1] < 1.5 * bound[0] + 1_000_000 and bound[1] < 30_000_000
+
+
+def test_transducer_waits_for_tokens_longer_than_its_chunk():
+    parts = [("a" * 2**k, "a" * 2**k) for k in range(5)]
+    ranks = {p: i for i, p in enumerate(parts)}
+    for chunk in (1, 3, 8, 100):
+        t = bpe.Transducer(ranks, bpe.sufficient_lookahead(parts, ""), "", chunk)
+        assert t.feed("a" * 301) + t.end() == bpe.merge_tokens(["a"] * 301, ranks)
+
+
 def test_toxicity(spark, none):
     draw = random.Random(1)
     plain, bad = ["w%d" % i for i in range(50)], ["idiot", "scum", "trash"]
