@@ -217,17 +217,19 @@ class Encoder:
     def found(self, tokens: list[str]) -> tuple[str, int, str]:
         """Ids as text, their number, and (without a decoder in the file) the decoded text."""
         ids = [self.vocab[t] for t in tokens]
-        return " ".join(map(str, ids)), len(ids), "" if self.decoder_spec else Decoder(self).all(ids)
+        return " ".join(map(str, ids)), len(ids), "" if self.decoder_spec else Decoder.parted(tokens)
 
     def run_tokens(self, run: str) -> tuple[str, int, str]:
         """The same of a run of normalised characters without white space; short runs are remembered, in two generations."""
-        known = self.before.get(run)
+        known = self.known.get(run) or self.before.get(run)
         if known is None:
             kind = 0 if run.isascii() else 1 + bool(self.astral.search(run))
             words = self.words[kind].findall(run)
-            if kind:
-                words = ["".join([self.symbols[b] for b in w.encode()]) for w in words]
-            known = self.found([t for w in words for t in self.word_tokens(w)])
+            if len(words) == 1:
+                known = self.found(self.word_tokens("".join([self.symbols[b] for b in run.encode()]) if kind else run))
+            else:
+                each = [self.run_tokens(w) for w in words]
+                known = " ".join([x[0] for x in each]), sum([x[1] for x in each]), " ".join([x[2] for x in each])
         if len(run) <= LONGEST:
             if len(self.known) >= MEMORY:
                 self.known, self.before = {}, self.known
@@ -304,6 +306,9 @@ class Decoder:
         lead, self.started = (" " if self.started else ""), True
         return lead + name
 
+    #: What feed gives for tokens that are parted by blanks.
+    parted = staticmethod(" ".join)
+
     def end(self) -> str:
         return self.utf8.decode(b"", True)
 
