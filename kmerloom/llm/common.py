@@ -81,6 +81,13 @@ def unused(taken: list[str], *wanted: str) -> list[str]:
     return out
 
 
+def aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, list[Column]]:
+    """docs with columns that are called like one of `names` renamed, and the columns that give docs back."""
+    clash = [c for c in docs.columns if c.lower() in names]
+    new = dict(zip(clash, unused([*docs.columns, *names], *[f"_{c}" for c in clash])))
+    return docs.withColumnsRenamed(new), [F.col(new.get(c, c)).alias(c) for c in docs.columns]
+
+
 def counted_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only where the counted rows are within the bound; otherwise the join shuffles."""
     return F.broadcast(df) if rows <= most else df

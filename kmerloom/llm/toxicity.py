@@ -1,18 +1,21 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A logistic regression over the words of a text. Each training text that names a group has a counterfactual in which every
-identity term is swapped for another of its kind; training penalises the squared change of the score, so that
-neither naming a group nor which group is named moves it.
+A logistic regression over the words of a text. Each training text that names a group has counterfactuals, in which every
+identity term of its sentences is swapped for another of its kind and language; training penalises the squared change of the
+score, so that neither naming a group nor which group is named moves it.
 
 Learning is bounded: at most about TRAIN_DOCS labelled documents outside the held-out fold, taken by a hash of their ids
-(all, if there are fewer), and the FEATURES words that tell most. Every text is scored whole.
+(all, if there are fewer), and of their words the FEATURES that tell most apart toxic from other documents and the identity terms. Other
+words carry no evidence. Every text is scored whole.
 
 Defined cases: a null text is empty; an empty text gets the score of no evidence (the base rate); without labelled documents
-every score is 0; several labels of one document count each.
+every score is 0; several labels of one document count each, as do rows that repeat an id; a null id has no label; an empty table
+gives an empty table; other columns are not looked at, or carried along by keep_clean.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,13 +31,22 @@ LEAST_DOCS = 5
 RIDGE, FAIRNESS, STEPS = 0.02, 10.0, 300
 FOLD, HELD_OUT = 5, 0
 
-#: Identity terms by kind; a counterfactual swaps terms within a kind.
+#: Identity terms by kind and language; a counterfactual swaps terms within a kind.
 IDENTITY = {
     "religion": "muslim muslims christian christians jewish jews hindu hindus buddhist buddhists sikh sikhs atheist atheists catholic catholics protestant protestants".split(),
     "origin": "black white asian african european american mexican chinese indian arab latino hispanic german french spanish turkish russian polish immigrant immigrants refugee refugees foreigner foreigners".split(),
     "gender": "woman women man men girl girls boy boys female male transgender trans nonbinary".split(),
     "orientation": "gay lesbian bisexual queer straight homosexual heterosexual".split(),
     "body": "disabled blind deaf autistic elderly old young".split(),
+    "religion, French": "musulman musulmans chrétien chrétiens juif juifs hindou hindous bouddhiste bouddhistes athée athées catholique catholiques".split(),
+    "origin, French": "noir noirs blanc blancs africain africains arabe arabes européen européens immigré immigrés réfugié réfugiés étranger étrangers".split(),
+    "gender, French": "femme femmes homme hommes fille filles garçon garçons".split(),
+    "religion, German": "muslime christ christen jude juden buddhisten atheisten katholiken protestanten".split(),
+    "origin, German": "schwarze weiße afrikaner araber europäer türken einwanderer flüchtling flüchtlinge ausländer".split(),
+    "gender, German": "frau frauen mann männer mädchen jungen".split(),
+    "religion, Spanish": "musulmán musulmanes cristiano cristianos judío judíos budista budistas ateo ateos católico católicos".split(),
+    "origin, Spanish": "negro negros blanco blancos africano africanos árabe árabes europeo europeos inmigrante inmigrantes refugiado refugiados extranjero extranjeros".split(),
+    "gender, Spanish": "mujer mujeres hombre hombres niña niñas niño niños".split(),
 }
 
 
@@ -44,12 +56,17 @@ def _table() -> bytes:
 
 
 TABLE = _table()
+_WORD = re.compile(rb"[^ ]+")
 
 
 def words(text: str | None) -> set[bytes]:
     return set((text or "").encode().translate(TABLE).split())
 
 
+def _sorted(found: set[bytes]) -> list[str]:
+    return sorted(w.decode("utf-8", "replace") for w in found)
+
+
 @dataclass(frozen=True)
 class Model:
     weights: dict[bytes, float]
@@ -63,14 +80,20 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def swapped(found: set[bytes], turn: int = 1) -> set[bytes]:
-    """The counterfactual: each identity term becomes the one `turn` places on in its kind."""
-    out = set(found)
-    for terms in IDENTITY.values():
-        mine = [t for t in terms if t.encode() in found]
-        out -= {t.encode() for t in mine}
-        out |= {terms[(terms.index(t) + turn) % len(terms)].encode() for t in mine}
-    return out
+_KIND = {t.encode(): (kind, i) for kind, terms in IDENTITY.items() for i, t in enumerate(terms)}
+
+
+def counterfactual(text: str | None, turn: int = 1) -> str:
+    """The text with each identity term swapped for the one `turn` places on in its kind; all else stays, in its place."""
+    data = (text or "").encode()
+    low = data.translate(TABLE)
+    out, at = [], 0
+    for m in _WORD.finditer(low):
+        if found := _KIND.get(m.group()):
+            kind, i = found
+            out += [data[at : m.start()], IDENTITY[kind][(i + turn) % len(IDENTITY[kind])].encode()]
+            at = m.end()
+    return b"".join([*out, data[at:]]).decode()
 
 
 def fit(rows: list[tuple[list[int], int]], pairs: list[tuple[list[int], list[int]]], width: int, ridge: float = RIDGE, fairness: float = FAIRNESS, steps: int = STEPS) -> tuple[np.ndarray, float]:
@@ -114,10 +137,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labelled = texts.join(common.counted_broadcast(chosen, taken), id_col).select("text", "y")
 
     def distinct(batch):
-        rows = {"y": batch.column("y"), "words": [sorted(w.decode("utf-8", "replace") for w in words(t)) for t in batch.column("text").to_pylist()]}
-        return rows
+        texts = batch.column("text").to_pylist()
+        rows = {"y": batch.column("y"), "words": [_sorted(words(t)) for t in texts]}
+        named = [bool(words(t) & _KIND.keys()) for t in texts]
+        return rows | {f"swapped{turn}": [_sorted(words(counterfactual(t, turn))) if n else None for t, n in zip(texts, named)] for turn in (1, 2)}
 
-    sets = common.saved(common.map_texts(labelled, distinct, "y int, words array<string>"))
+    sets = common.saved(common.map_texts(labelled, distinct, "y int, words array<string>, swapped1 array<string>, swapped2 array<string>"))
     total, toxic = sets.agg(F.count(F.lit(1)), F.sum("y")).first()
     toxic = toxic or 0
     if not total:
@@ -136,18 +161,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         import pyarrow as pa
 
         for batch in batches:
-            found = [[held.value[w] for w in ws if w in held.value] for ws in batch.column("words").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "f": pa.array(found, pa.list_(pa.int32()))})
+            out = {"y": batch.column("y")}
+            for c in ("words", "swapped1", "swapped2"):
+                out[c] = pa.array([None if ws is None else [held.value[w] for w in ws if w in held.value] for ws in batch.column(c).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict(out)
 
     # at most TRAIN_DOCS rows of at most FEATURES numbers
-    rows = [(list(r["f"]), r["y"]) for r in sets.mapInArrow(numbered, "y int, f array<int>").toLocalIterator()]
-    rows.sort()
-    pairs = []
-    marks = {place[t] for t in terms}
-    for f, _ in rows:
-        if not marks.isdisjoint(f):
-            own = {names[i].encode() for i in f}
-            pairs += [(f, [place[w.decode()] for w in swapped(own, turn)]) for turn in (1, 2)]
+    found = sorted([tuple(r) for r in sets.mapInArrow(numbered, "y int, words array<int>, swapped1 array<int>, swapped2 array<int>").toLocalIterator()], key=str)
+    rows = [(list(f), y) for y, f, _, _ in found]
+    pairs = [(list(f), list(other)) for _, f, *others in found for other in others if other is not None]
     # neutral mentions: a term alone against the next of its kind
     pairs += [([place[a]], [place[b]]) for kind in IDENTITY.values() for a, b in zip(kind, kind[1:] + kind[:1])]
     w, bias = fit(rows, pairs, len(names))

@@ -313,6 +313,30 @@ def test_toxicity(spark, none):
     assert toxicity.keep_clean(docs, model).filter("doc_id = 600").count() == 1
 
 
+def test_counterfactuals_and_fit():
+    assert toxicity.counterfactual("A Muslim woman, the  MUSLIMS; nothing.\n") == "A muslims women, the  christian; nothing.\n"
+    assert toxicity.counterfactual("les Juifs", 1) == "les hindou" and toxicity.counterfactual(None) == "" and toxicity.counterfactual("é ü") == "é ü"
+    np = toxicity.np
+    draw = random.Random(7)
+    rows = [(sorted(draw.sample(range(12), 4)), draw.randrange(2)) for _ in range(80)]
+    rows = [(f, int(0 in f or y and 1 in f)) for f, y in rows]
+    pairs = [([2, 5], [3, 5])]
+    w, bias = toxicity.fit(rows, pairs, 12)
+
+    def loss(w, bias):
+        z = np.array([bias + sum(w[i] for i in f) for f, _ in rows])
+        y = np.array([y for _, y in rows])
+        return np.logaddexp(0, z).sum() - (y * z).sum() + toxicity.RIDGE / 2 * (w**2).sum() + toxicity.FAIRNESS * (w[2] - w[3]) ** 2
+
+    best = loss(w, bias)  # of a convex function: no step in any direction lowers it by much
+    for i in range(12):
+        for step in (-0.05, 0.05):
+            moved = w.copy()
+            moved[i] += step
+            assert loss(moved, bias) > best - 0.02
+    assert w[0] > 1 and abs(w[2] - w[3]) < 0.2
+
+
 def test_jaccard(spark, docs, none, rows, monkeypatch):
     def sets(t):
         w = (t or "").encode().lower().split()
@@ -432,6 +456,18 @@ def test_language(spark, none):
     out = {r.doc_id: r for r in langid.identify(docs, model).collect()}
     assert all(out[i].lang_pred == lang for i, _, lang in rows)
     assert (out[300].lang_pred, out[301].lang_pred, out[302].lang_pred) == ("und", "und", "de")
+    signs = spark.createDataFrame([(1, "½ ² ① Ⅷ"), (2, "① der")], "doc_id bigint, text string")
+    assert [r.lang_pred for r in langid.identify(signs, model).orderBy("doc_id").collect()] == ["und", "de"]
+    # corrected hits against plain counting of cells
+    text = "der die le the nicht".encode()
+    g = langid.grams(langid.np.frombuffer(text, langid.np.uint8))
+    plain = [bytes(langid.FOLDED[langid.np.frombuffer(text[k : k + 4], langid.np.uint8)]) for k in range(len(text) - 3)]
+    assert [int.from_bytes(p, "little") for p in plain] == g.tolist()
+    a, b = model.cells(g)
+    for bit in range(len(model.langs)):
+        share = sum(1 for x, y in zip(a.tolist(), b.tolist()) if int(model.masks[x, 0]) >> bit & 1 and int(model.masks[y, 0]) >> bit & 1) / len(g)
+        want = max(0.0, (share - model.wrong[bit]) / (1 - model.wrong[bit])) if share else 0.0
+        assert abs(model.hits(g, langid.np.array([0]), langid.np.array([len(g)]))[0][bit] - want) < 1e-12
     assert all(0 <= r.score <= 1 for r in out.values())
     assert langid.identify(docs, langid.learn(docs.limit(0))).filter("lang_pred <> 'und'").count() == 0
     assert langid.identify(none, model).count() == 0
