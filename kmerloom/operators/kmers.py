@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..session import saved
 
 #: Starts per window: substring walks a string from its beginning, so long reads are cut before their k-mers are.
 STARTS = 128
 PACKED = 31
-#: Bases that a task counts at once.
-AT_ONCE = 1 << 22
+#: Bases that a task counts at once; counts that are broadcast at most (64 MB).
+AT_ONCE, PILE_ROWS = 1 << 22, 1 << 22
 
 
 def positions(reads: DataFrame, k: int, id_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
@@ -33,57 +34,93 @@ def unpack(code: str, k: int) -> Column:
     return F.translate(F.lpad(F.conv(F.col(code).cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
+def pack(kmer) -> Column:
+    """The packed code of a k-mer of bases alone."""
+    return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("bigint")
+
+
+_BASE = np.full(256, 255, np.uint8)
+for _i, _c in enumerate(b"ACGT"):
+    _BASE[_c] = _i
+
+
+def codes_of(seq: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The packed k-mers of a read, and which of them are of bases alone; a read shorter than k has none."""
+    b = _BASE[np.frombuffer(seq, np.uint8)]
+    m = len(b) - k + 1
+    if m <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    code, width, done = b.astype(np.int64), 1, 0
+    out = np.zeros(m, np.int64)
+    # k as a sum of powers of two: a run of 2w bases is two runs of w
+    for bit in range(k.bit_length()):
+        if k >> bit & 1:
+            out = (out << (2 * width)) | code[done : done + m]
+            done += width
+        if bit + 1 < k.bit_length():
+            code = (code[: len(code) - width] << (2 * width)) | code[width:]
+            width *= 2
+    bad = np.concatenate([[0], np.cumsum(b == 255)])
+    return out, bad[k:] == bad[:-k]
+
+
+def complements(code: np.ndarray, k: int) -> np.ndarray:
+    """The packed reverse complements: every base is flipped, and the pairs of bits are turned round."""
+    x = ~code.astype(np.uint64)
+    for shift, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F)):
+        x = ((x >> np.uint64(shift)) & np.uint64(mask)) | ((x & np.uint64(mask)) << np.uint64(shift))
+    return (x.byteswap() >> np.uint64(64 - 2 * k)).astype(np.int64)
+
+
 def _packed_counts(reads: DataFrame, k: int, seq_col: str) -> DataFrame:
-    table = np.full(256, 255, np.uint8)
-    for i, c in enumerate(b"ACGT"):
-        table[c] = i
+    """(code, n_fwd, n_both): counted within each task, on both strands, before the shuffle."""
 
     def run(batches):
         import pyarrow as pa
 
         def counted(parts):
             codes, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_pydict({"code": codes, "n": n})
+            both = np.concatenate([codes, complements(codes, k)])
+            out, place = np.unique(both, return_inverse=True)
+            forward = np.bincount(place[: len(codes)], n, len(out)).astype(np.int64)
+            return pa.RecordBatch.from_pydict({"code": out, "n_fwd": forward, "n_both": np.bincount(place, np.append(n, n), len(out)).astype(np.int64)})
 
         held, size = [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                b = table[np.frombuffer((text or "").encode(), np.uint8)]
-                m = len(b) - k + 1
-                if m <= 0:
-                    continue
-                code, width, done = b.astype(np.int64), 1, 0
-                out = np.zeros(m, np.int64)
-                # k as a sum of powers of two: a run of 2w bases is two runs of w
-                for bit in range(k.bit_length()):
-                    if k >> bit & 1:
-                        out = (out << (2 * width)) | code[done : done + m]
-                        done += width
-                    if bit + 1 < k.bit_length():
-                        code = (code[: len(code) - width] << (2 * width)) | code[width:]
-                        width *= 2
-                bad = np.concatenate([[0], np.cumsum(b == 255)])
-                good = bad[k:] == bad[:-k]
+                out, good = codes_of((text or "").encode(), k)
                 out = out[good] if not good.all() else out
                 held.append(out)
                 size += len(out)
                 if size >= AT_ONCE:
                     yield counted(held)
                     held, size = [], 0
-        if held:
+        if size:
             yield counted(held)
 
-    found = reads.select(seq_col).mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n_fwd"))
-    return found.select(unpack("code", k).alias("kmer"), "n_fwd")
+    return reads.select(seq_col).mapInArrow(run, "code bigint, n_fwd bigint, n_both bigint").groupBy("code").agg(F.sum("n_fwd").alias("n_fwd"), F.sum("n_both").alias("n_both"))
+
+
+def _odd_counts(reads: DataFrame, k: int, seq_col: str) -> DataFrame:
+    """forward_counts of the k-mers that have other symbols than bases."""
+    odd = reads.filter(F.col(seq_col).rlike("[^ACGT]")).select(F.lit(0).alias("read_id"), F.col(seq_col).alias("seq"))
+    return positions(odd, k).filter(F.col("kmer").rlike("[^ACGT]")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n_fwd"))
 
 
 def forward_counts(reads: DataFrame, k: int, seq_col: str = "seq") -> DataFrame:
     """(kmer, n_fwd): occurrences as read, of every k-mer over $ACGNT."""
     if k > PACKED:
         return positions(reads.select(F.lit(0).alias("read_id"), F.col(seq_col).alias("seq")), k).groupBy("kmer").agg(F.count(F.lit(1)).alias("n_fwd"))
-    odd = reads.filter(F.col(seq_col).rlike("[^ACGT]")).select(F.lit(0).alias("read_id"), F.col(seq_col).alias("seq"))
-    odd = positions(odd, k).filter(F.col("kmer").rlike("[^ACGT]")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n_fwd"))
-    return _packed_counts(reads, k, seq_col).unionByName(odd)
+    packed = _packed_counts(reads, k, seq_col).filter("n_fwd > 0").select(unpack("code", k).alias("kmer"), "n_fwd")
+    return packed.unionByName(_odd_counts(reads, k, seq_col))
+
+
+def counts_of(reads: DataFrame, k: int, least: int = 1, seq_col: str = "seq") -> DataFrame:
+    """both_counts of forward_counts. k-mers of bases are turned round before the shuffle and spelled out after the pruning."""
+    if k > PACKED:
+        return both_counts(forward_counts(reads, k, seq_col), least)
+    packed = _packed_counts(reads, k, seq_col).filter(F.col("n_both") >= least).select(unpack("code", k).alias("kmer"), "n_fwd", "n_both")
+    return packed.unionByName(both_counts(_odd_counts(reads, k, seq_col), least))
 
 
 def both_counts(forward: DataFrame, least: int = 1) -> DataFrame:
@@ -116,9 +153,63 @@ def lookup(queries: DataFrame, counts: DataFrame, n: str = "n_fwd") -> DataFrame
     return queries.join(counts.select("kmer", F.col(n).alias("_n")), "kmer", "left").withColumn("n", F.coalesce("_n", F.lit(0))).drop("_n")
 
 
+def around(queries: DataFrame, table: DataFrame, key: str = "prefix") -> DataFrame:
+    """queries (a column named like the key) with the four counts of an extension or prefix table; zeros for what never occurs."""
+    counts = ["n_a", "n_c", "n_g", "n_t"]
+    joined = queries.join(table.select(F.col(key).alias("_key"), *counts), F.col(key) == F.col("_key"), "left").drop("_key")
+    return joined.withColumns({n: F.coalesce(n, F.lit(0)) for n in counts})
+
+
+def piles(reads: DataFrame, counts: DataFrame, k: int, id_col: str = "read_id", seq_col: str = "seq", most: int = PILE_ROWS) -> DataFrame:
+    """(id, counts): per read the counts of both strands at every position; a read shorter than k has one position of 0.
+
+    Counts of packed k-mers number at most `most` (counted) to be broadcast, as 16 bytes each; reads then stay where they are. More
+    of them are joined by their codes. k-mers of other symbols than bases, or longer than a code, are joined as strings.
+    """
+    plain = F.lit(False) if k > PACKED else ~F.col(seq_col).rlike("[^ACGT]")
+    reads = reads.filter(F.col(seq_col).isNotNull())
+    rest = reads.filter((F.length(seq_col) >= k) & ~plain)
+    short = reads.filter(F.length(seq_col) < k).select(id_col, F.array(F.lit(0).cast("bigint")).alias("counts"))
+    n = F.transform(F.array_sort(F.collect_list(F.struct("pos", "n"))), lambda x: x["n"])
+    found = positions(rest, k, id_col, seq_col).join(counts.select("kmer", F.col("n_both").alias("_n")), "kmer", "left").select(id_col, "pos", F.coalesce("_n", F.lit(0)).alias("n"))
+    out = short.unionByName(found.groupBy(id_col).agg(n.alias("counts")))
+    if k > PACKED:
+        return out
+    fast = reads.filter((F.length(seq_col) >= k) & plain).select(F.col(id_col).alias("id"), F.col(seq_col).alias("seq"))
+    table = saved(counts.filter(~F.col("kmer").rlike("[^ACGT]")).select(pack("kmer").alias("code"), "n_both"))
+    kind = dict(fast.dtypes)["id"]
+    if table.count() > most:
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for i, seq in enumerate(batch.column(1).to_pylist()):
+                    code, _ = codes_of(seq.encode(), k)
+                    yield pa.RecordBatch.from_pydict({"id": batch.column(0).take(pa.array(np.full(len(code), i))), "pos": np.arange(len(code)), "code": code})
+
+        found = fast.mapInArrow(run, f"id {kind}, pos bigint, code bigint").join(table, "code", "left").select(F.col("id").alias(id_col), "pos", F.coalesce("n_both", F.lit(0)).alias("n"))
+        return out.unionByName(found.groupBy(id_col).agg(n.alias("counts")))
+    rows = table.toPandas().sort_values("code")
+    shared = reads.sparkSession.sparkContext.broadcast((rows["code"].to_numpy(np.int64), rows["n_both"].to_numpy(np.int64)))
+
+    def look_up(batches):
+        import pyarrow as pa
+
+        known, n = shared.value
+        for batch in batches:
+            each = [codes_of(seq.encode(), k)[0] for seq in batch.column(1).to_pylist()]
+            code = np.concatenate(each) if each else np.zeros(0, np.int64)
+            found = np.zeros(len(code), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+                found = np.where(known[at] == code, n[at], 0)
+            cuts = np.cumsum([0, *map(len, each)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(found))], ["id", "counts"])
+
+    return out.unionByName(fast.mapInArrow(look_up, f"id {kind}, counts array<bigint>").withColumnRenamed("id", id_col))
+
+
 def pileup(reads: DataFrame, counts: DataFrame, k: int, id_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
     """(id, pos, n): count of both strands at every position; a read shorter than k has one position of 0."""
-    found = positions(reads, k, id_col, seq_col).join(counts.select("kmer", F.col("n_both").alias("_n")), "kmer", "left")
-    found = found.select(id_col, "pos", F.coalesce("_n", F.lit(0).cast("bigint")).alias("n"))
-    short = reads.filter(F.length(seq_col) < k).select(id_col, F.lit(0).alias("pos"), F.lit(0).cast("bigint").alias("n"))
-    return found.unionByName(short)
+    return piles(reads, counts, k, id_col, seq_col).select(id_col, F.posexplode("counts").alias("pos", "n"))

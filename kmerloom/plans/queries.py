@@ -36,11 +36,11 @@ def short(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counts(spark, sf_dir, k: int = K, least: int = 1) -> DataFrame:
-    return kmers.both_counts(kmers.forward_counts(accurate(spark, sf_dir), k), least)
+    return kmers.counts_of(accurate(spark, sf_dir), k, least)
 
 
-def _pile(spark, sf_dir) -> DataFrame:
-    return kmers.pileup(noisy(spark, sf_dir), counts(spark, sf_dir), K)
+def _limits(spark, sf_dir) -> DataFrame:
+    return correct.thresholds(kmers.piles(noisy(spark, sf_dir), counts(spark, sf_dir), K), FIXED)
 
 
 def normalise(spark, sf_dir):
@@ -66,15 +66,20 @@ def kmer_spectrum(spark, sf_dir):
 
 
 def kmer_long(spark, sf_dir):
-    return counts(spark, sf_dir, 59, 2).groupBy("n_both").agg(F.count(F.lit(1)).alias("kmers"), F.min("kmer").alias("least"))
+    return counts(spark, sf_dir, 59).groupBy("n_both").agg(F.count(F.lit(1)).alias("kmers"), F.min("kmer").alias("least"))
 
 
 def count_kmer(spark, sf_dir):
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
-    asked = parts.select(F.substring(F.translate(F.regexp_replace(F.lower("p_name"), "[^a-z]", ""), LETTERS, BASES), 1, 7).alias("kmer")).distinct()
+    asked = kmers.positions(short(spark, sf_dir), 7).select("kmer").distinct()
     return kmers.lookup(asked, kmers.forward_counts(accurate(spark, sf_dir), 7))
 
 
+def extension_lookup(spark, sf_dir):
+    """Of every 9-mer of the part names; most never occur in the texts."""
+    asked = kmers.positions(short(spark, sf_dir), 9).select(F.col("kmer").alias("prefix")).distinct()
+    return kmers.around(asked, kmers.extensions(counts(spark, sf_dir, 10)))
+
+
 def extension_table(spark, sf_dir):
     return kmers.extensions(counts(spark, sf_dir, 8))
 
@@ -88,7 +93,7 @@ def postfix_counts(spark, sf_dir):
 
 
 def pileup(spark, sf_dir):
-    w = _pile(spark, sf_dir)
+    w = kmers.pileup(noisy(spark, sf_dir), counts(spark, sf_dir), K)
     return w.groupBy("read_id").agg(F.count(F.lit(1)).alias("positions"), F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum(F.col("n") * (F.col("pos") % 1000)).alias("weighted"))
 
 
@@ -97,12 +102,11 @@ def average_coverage(spark, sf_dir):
 
 
 def read_thresholds(spark, sf_dir):
-    return correct.thresholds(_pile(spark, sf_dir), FIXED).select("read_id", "size", "median", "threshold")
+    return _limits(spark, sf_dir).select("read_id", "size", "median", "threshold")
 
 
 def _regions(spark, sf_dir):
-    pile = _pile(spark, sf_dir)
-    return correct.weak_regions(pile, correct.thresholds(pile, FIXED))
+    return correct.weak_regions(_limits(spark, sf_dir))
 
 
 def weak_regions(spark, sf_dir):
@@ -114,7 +118,7 @@ def region_cases(spark, sf_dir):
 
 
 def edit_distance(spark, sf_dir):
-    """Of each whole read to its noisy form. The SQL below compares 200 bases of each, so it agrees only by chance."""
+    """Of each whole read to its noisy form. SQL is too slow on whole reads; tests/test_queries.py has brute force."""
     both = accurate(spark, sf_dir).select("read_id", F.col("seq").alias("a")).join(noisy(spark, sf_dir).select("read_id", F.col("seq").alias("b")), "read_id")
 
     def run(batches):
@@ -128,10 +132,25 @@ def edit_distance(spark, sf_dir):
 
 
 def prefix_edit_distance(spark, sf_dir):
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("a"))
-    r = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_name").alias("b"))
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("a"), F.col("n_regionkey").alias("r"))
+    r = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_name").alias("b"), F.col("r_regionkey").alias("r"))
     best = S.prefix_edit_distance("a", "b")
-    return n.crossJoin(F.broadcast(r)).select("a", "b", best["score"].cast("bigint").alias("score"), best["match_length"].cast("bigint").alias("match_length"))
+    return n.join(r, "r").select("a", "b", best["score"].cast("bigint").alias("score"), best["match_length"].cast("bigint").alias("match_length"))
+
+
+def wavefront(spark, sf_dir):
+    """Distances and prefix distances of all parts' names and types by the wavefront kernels."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_type")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            pairs = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            best = [kernels.wavefront_prefix_distance(a, b) for a, b in pairs]
+            yield pa.RecordBatch.from_pydict({"p_partkey": batch.column(0), "distance": [kernels.wavefront_distance(a, b) for a, b in pairs], "score": [x for x, _ in best], "match_length": [x for _, x in best]})
+
+    return parts.mapInArrow(run, f"p_partkey {dict(parts.dtypes)['p_partkey']}, distance bigint, score bigint, match_length bigint")
 
 
 def bounded_median(spark, sf_dir):
@@ -172,7 +191,7 @@ def bit_ranks(spark, sf_dir):
 
 def backward_search(spark, sf_dir):
     asked = kmers.positions(short(spark, sf_dir), 3).select("kmer").distinct()
-    return index.ranges(bwt_text(spark, sf_dir), asked).select("kmer", (F.col("high") - F.col("low")).alias("n"))
+    return index.ranges(bwt_text(spark, sf_dir), asked)
 
 
 def reads_of_index(spark, sf_dir):
@@ -212,7 +231,7 @@ def correct_full(spark, sf_dir):
     return correct.correct(long_reads, accurate(spark, sf_dir), p)
 
 
-QUERIES = [weak_regions, normalise, encode_decode, kmer_count_forward, kmer_count_both, kmer_spectrum, kmer_long, count_kmer, extension_table, prefix_counts, postfix_counts, pileup, average_coverage, read_thresholds, region_cases, edit_distance, prefix_edit_distance, bounded_median, bwt_text, bwt_runs, run_bytes, run_bytes_decoded, symbol_totals, rank_table, bit_ranks, backward_search, reads_of_index, range_filter, fasta_lines, gaps, corrections, stitched, correct_full]
+QUERIES = [weak_regions, normalise, encode_decode, kmer_count_forward, kmer_count_both, kmer_spectrum, kmer_long, count_kmer, extension_lookup, extension_table, prefix_counts, postfix_counts, pileup, average_coverage, read_thresholds, region_cases, edit_distance, prefix_edit_distance, wavefront, bounded_median, bwt_text, bwt_runs, run_bytes, run_bytes_decoded, symbol_totals, rank_table, bit_ranks, backward_search, reads_of_index, range_filter, fasta_lines, gaps, corrections, stitched, correct_full]
 
 
 def queries() -> dict:
@@ -252,6 +271,7 @@ def _four(n: str, base: str) -> str:
     return ", ".join(f"CAST(sum(CASE WHEN {base} = '{b}' THEN {n} ELSE 0 END) AS BIGINT) AS n_{b.lower()}" for b in "ACGT")
 
 
+_NAMES = f"names AS (SELECT {_DNA.format('p_name')} AS seq, p_name AS read_id FROM (SELECT DISTINCT p_name FROM part))"
 _TINY = f"""WITH r AS (SELECT {_DNA.format('p_name')} AS s, row_number() OVER (ORDER BY {_DNA.format('p_name')}, p_name) AS r FROM (SELECT DISTINCT p_name FROM part)),
 suf AS (SELECT substr(s, i) || '$' AS suffix, r, CASE WHEN i = 1 THEN '$' ELSE substr(s, i - 1, 1) END AS symbol FROM (SELECT s, r, unnest(range(1, length(s) + 2)) AS i FROM r)),
 bwt AS (SELECT row_number() OVER (ORDER BY suffix, r) - 1 AS pos, symbol FROM suf)"""
@@ -265,8 +285,9 @@ ORACLE = {
     "kmer_count_forward": _fwd(21) + " SELECT n_fwd, count(*) AS kmers, min(kmer) AS least, max(kmer) AS greatest FROM fwd GROUP BY n_fwd",
     "kmer_count_both": _both(9) + " SELECT * FROM cnt",
     "kmer_spectrum": _both(K) + " SELECT n_both, count(*) AS kmers FROM cnt GROUP BY n_both",
-    "kmer_long": _both(59) + " SELECT n_both, count(*) AS kmers, min(kmer) AS least FROM cnt WHERE n_both >= 2 GROUP BY n_both",
-    "count_kmer": _fwd(7) + f", q AS (SELECT DISTINCT substr({_DNA.format('p_name')}, 1, 7) AS kmer FROM part) SELECT kmer, coalesce(n_fwd, 0) AS n FROM q LEFT JOIN fwd USING (kmer)",
+    "kmer_long": _both(59) + " SELECT n_both, count(*) AS kmers, min(kmer) AS least FROM cnt GROUP BY n_both",
+    "count_kmer": _fwd(7) + f", {_NAMES}, {_at(7, 'names', 'ask')}, q AS (SELECT DISTINCT kmer FROM ask) SELECT kmer, coalesce(n_fwd, 0) AS n FROM q LEFT JOIN fwd USING (kmer)",
+    "extension_lookup": _both(10) + f", {_NAMES}, {_at(9, 'names', 'ask')}, q AS (SELECT DISTINCT kmer AS prefix FROM ask), e AS (SELECT substr(kmer, 1, 9) AS prefix, {_four('n_both', 'substr(kmer, 10, 1)')} FROM cnt GROUP BY 1) SELECT prefix, coalesce(n_a, 0) AS n_a, coalesce(n_c, 0) AS n_c, coalesce(n_g, 0) AS n_g, coalesce(n_t, 0) AS n_t FROM q LEFT JOIN e USING (prefix)",
     "extension_table": _both(8) + f" SELECT substr(kmer, 1, 7) AS prefix, {_four('n_both', 'substr(kmer, 8, 1)')} FROM cnt GROUP BY 1",
     "prefix_counts": _fwd(8) + f" SELECT substr(kmer, 2) AS suffix, {_four('n_fwd', 'substr(kmer, 1, 1)')} FROM fwd GROUP BY 1",
     "postfix_counts": _fwd(8) + f" SELECT substr(kmer, 1, 7) AS prefix, {_four('n_fwd', 'substr(kmer, 8, 1)')} FROM fwd GROUP BY 1",
@@ -278,8 +299,8 @@ ORACLE = {
       CASE WHEN first = 0 THEN 0 ELSE first - 1 END AS start, CASE WHEN last = size THEN size + {K - 1} ELSE last + {K} END AS "end" FROM reg),
       d AS (SELECT *, CAST(trunc(CASE WHEN "case" = 'bridge' THEN CAST(1.3 AS DOUBLE) ELSE CAST(1.05 AS DOUBLE) END * ("end" - start)) AS INT) AS longest FROM c)
       SELECT read_id, first, last, "case", start, "end", longest, "case" <> 'whole' AND CASE WHEN "case" = 'tail' THEN longest <= 10000 ELSE longest < 10000 END AS search FROM d""",
-    "edit_distance": f"WITH {_READS}, {_NOISY} SELECT read_id, levenshtein(substr(r.seq, 1, 200), substr(n.seq, 4, 200)) AS distance FROM reads r JOIN noisy n USING (read_id)",
-    "prefix_edit_distance": "WITH e AS (SELECT n_name AS a, r_name AS b, y, levenshtein(n_name, substr(r_name, 1, y)) AS d FROM nation, region, LATERAL (SELECT unnest(range(0, length(r_name) + 1)) AS y)) SELECT a, b, min(d) AS score, arg_min(y, d * 1000 - y) AS match_length FROM e GROUP BY a, b",
+    "prefix_edit_distance": "WITH e AS (SELECT n_name AS a, r_name AS b, y, levenshtein(n_name, substr(r_name, 1, y)) AS d FROM nation JOIN region ON n_regionkey = r_regionkey, LATERAL (SELECT unnest(range(0, length(r_name) + 1)) AS y)) SELECT a, b, min(d) AS score, arg_min(y, d * 1000 - y) AS match_length FROM e GROUP BY a, b",
+    "wavefront": "WITH e AS (SELECT p_partkey, p_name, p_type, y, levenshtein(p_name, substr(p_type, 1, y)) AS d FROM part, LATERAL (SELECT unnest(range(0, length(p_type) + 1)) AS y)) SELECT p_partkey, levenshtein(any_value(p_name), any_value(p_type)) AS distance, min(d) AS score, arg_min(y, d * 1000 - y) AS match_length FROM e GROUP BY p_partkey",
     "bounded_median": "WITH o AS (SELECT l_orderkey, list_sort(list(CAST(l_quantity AS BIGINT)) FILTER (CAST(l_quantity AS BIGINT) >= 10)) AS v FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, coalesce(v[(len(v) - 1) // 2 + 1], 0) AS median FROM o",
     "bwt_text": _TINY + " SELECT * FROM bwt",
     "bwt_runs": _RUNS + " SELECT * FROM run",
@@ -289,7 +310,7 @@ ORACLE = {
       SELECT symbol, n, CAST(sum(n) OVER (ORDER BY i) - n AS BIGINT) AS start, CAST(sum(n) OVER (ORDER BY i) AS BIGINT) AS "end" FROM c""",
     "rank_table": _TINY + " SELECT pos, symbol, row_number() OVER (PARTITION BY symbol ORDER BY pos) - 1 AS rank FROM bwt",
     "bit_ranks": "SELECT event_id AS pos, CAST(event_type = 'click' AS INT) AS bit, CAST(coalesce(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rank FROM events",
-    "backward_search": f"WITH r AS (SELECT {_DNA.format('p_name')} AS seq, p_name AS read_id FROM (SELECT DISTINCT p_name FROM part)), {_at(3, 'r')} SELECT kmer, count(*) AS n FROM km GROUP BY kmer",
+    "backward_search": _TINY + f", {_NAMES}, {_at(3, 'names', 'ask')}, q AS (SELECT DISTINCT kmer FROM ask), at AS (SELECT row_number() OVER (ORDER BY suffix, r) - 1 AS pos, substr(suffix, 1, 3) AS kmer FROM suf) SELECT kmer, min(pos) AS low, max(pos) + 1 AS high FROM q JOIN at USING (kmer) GROUP BY kmer",
     "reads_of_index": f"SELECT {_DNA.format('p_name')} AS seq, count(*) AS n FROM (SELECT DISTINCT p_name FROM part) GROUP BY 1",
     "range_filter": f"WITH {_READS} SELECT read_id - 100 AS read_index, seq FROM reads WHERE read_id >= 100 AND read_id < 300",
     "fasta_lines": f"WITH {_READS} SELECT read_id AS read_index, '>read' || read_id || chr(10) || seq AS record FROM reads",

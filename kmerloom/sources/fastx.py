@@ -7,21 +7,30 @@ from pyspark.sql import functions as F
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(read_index, label, seq); label is the whole header line, a sequence may have several lines; gzip is read as well."""
-    records = spark.read.option("lineSep", ">").text(path).filter(F.length(F.trim("value")) > 0)
+    """(read_index, label, seq); label is the whole header line, a sequence may have several lines; gzip is read as well.
+
+    A record begins with a > at the beginning of a line; line ends of both kinds are taken off.
+    """
+    records = spark.read.option("lineSep", "\n>").text(path).select("value", F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_path").alias("_file"))
+    # a file's first record still has its >
+    firsts = records.groupBy("_file").agg(F.min("_at").alias("_at")).select("_at", F.lit(True).alias("_first"))
+    records = records.drop("_file").join(firsts, "_at", "left").withColumn("value", F.when(F.col("_first"), F.regexp_replace("value", r"^\s*>?", "")).otherwise(F.col("value")))
+    records = records.filter(F.length(F.trim("value")) > 0)
     first = F.instr("value", "\n")
     label = F.when(first == 0, F.col("value")).otherwise(F.expr("substring(value, 1, instr(value, '\n') - 1)"))
     seq = F.when(first == 0, F.lit("")).otherwise(F.regexp_replace(F.expr("substring(value, instr(value, '\n') + 1)"), r"\s+", ""))
-    return _numbered(records.select(F.rtrim(label).alias("label"), seq.alias("seq"), F.monotonically_increasing_id().alias("_at")))
+    return _numbered(records.select(F.regexp_replace(label, r"\s+$", "").alias("label"), seq.alias("seq"), "_at"))
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(read_index, label, seq) of records of four lines; a file that ends within a record, or whose header or third
-    line is wrong, fails when it is read."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_path").alias("_file"))
-    n = F.row_number().over(Window.partitionBy("_file").orderBy("_at")) - 1
-    lines = lines.withColumn("_line", n)
-    records = lines.groupBy("_file", F.floor(F.col("_line") / 4).alias("_record")).agg(F.min("_at").alias("_at"), *[F.max(F.when(F.col("_line") % 4 == i, F.col("value"))).alias(c) for i, c in enumerate(("_head", "seq", "_plus", "_quality"))])
+    line is wrong, fails when it is read. Lines are numbered from counts per split, so a file may be read by many tasks."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_path").alias("_file")).withColumn("_part", F.shiftright("_at", 33))
+    # of each file's part of a split: where it begins, and how many lines it has
+    counts = lines.groupBy("_file", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = lines.join(counts.select("_file", "_part", "_from", before.alias("_before")), ["_file", "_part"]).withColumn("_line", F.col("_before") + F.col("_at") - F.col("_from"))
+    records = lines.groupBy("_file", F.expr("_line div 4").alias("_record")).agg(F.min("_at").alias("_at"), *[F.max(F.when(F.col("_line") % 4 == i, F.col("value"))).alias(c) for i, c in enumerate(("_head", "seq", "_plus", "_quality"))])
     wrong = F.col("_quality").isNull() | ~F.col("_head").startswith("@") | ~F.col("_plus").startswith("+")
     label = F.when(wrong, F.raise_error(F.concat(F.lit("not a FASTQ record: "), F.coalesce("_head", F.lit(""))))).otherwise(F.expr("substring(_head, 2)"))
     return _numbered(records.select(label.alias("label"), "seq", "_at"))

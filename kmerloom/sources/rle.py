@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from itertools import groupby
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,24 +13,44 @@ from ..functions.sequence import ALPHABET
 HEADER = 96
 
 
-def encode_text(text: str) -> bytes:
-    """Runs of a text over the alphabet; line ends are passed over, even within a run."""
-    plain = text.replace("\n", "")
-    if odd := set(plain) - set(ALPHABET):
-        raise ValueError(f"unexpected symbols: {sorted(odd)}")
+RUN = re.compile(r"(.)\1*")
+
+
+def _digits(symbol: str, length: int) -> bytes:
     out = bytearray()
-    for symbol, run in groupby(plain):
-        length = sum(1 for _ in run)
-        while length:
-            out.append(ALPHABET.index(symbol) | (length & 31) << 3)
-            length >>= 5
+    while length:
+        out.append(ALPHABET.index(symbol) | (length & 31) << 3)
+        length >>= 5
     return bytes(out)
 
 
+def encode_parts(parts: Iterable[str]) -> Iterator[bytes]:
+    """Runs of a text over the alphabet, given part by part; line ends are passed over, even within a run."""
+    symbol, length = "", 0
+    for part in parts:
+        plain = part.replace("\n", "")
+        if odd := set(plain) - set(ALPHABET):
+            raise ValueError(f"unexpected symbols: {sorted(odd)}")
+        for run in RUN.finditer(plain):
+            if run[1] != symbol:
+                yield _digits(symbol, length)
+                symbol, length = run[1], 0
+            length += run.end() - run.start()
+    yield _digits(symbol, length)
+
+
+def encode_text(text: str) -> bytes:
+    return b"".join(encode_parts([text]))
+
+
 def pack(data: bytes) -> bytes:
     """Fixed format: magic, version 1.0, the header's length, a dictionary padded by blanks, a line end."""
-    said = f"{{'descr': '|u1', 'fortran_order': False, 'shape': ({len(data)}, ), }}".encode()
-    return (b"\x93NUMPY\x01\x00" + (HEADER - 10).to_bytes(2, "little") + said).ljust(HEADER - 1) + b"\n" + data
+    return header(len(data)) + data
+
+
+def header(size: int) -> bytes:
+    said = f"{{'descr': '|u1', 'fortran_order': False, 'shape': ({size}, ), }}".encode()
+    return (b"\x93NUMPY\x01\x00" + (HEADER - 10).to_bytes(2, "little") + said).ljust(HEADER - 1) + b"\n"
 
 
 def unpack(file: bytes) -> bytes:
@@ -43,9 +63,42 @@ def unpack(file: bytes) -> bytes:
     return file[end:]
 
 
-def save(text: str, path: str) -> None:
+def write(parts: Iterable[bytes], path: str) -> None:
+    """The file of bytes that come part by part; the header is filled in last."""
     with open(path, "wb") as f:
-        f.write(pack(encode_text(text)))
+        f.write(header(0))
+        size = sum(map(f.write, parts))
+        f.seek(0)
+        f.write(header(size))
+
+
+def save(text: str, path: str) -> None:
+    write(encode_parts([text]), path)
+
+
+def save_bytes(found: DataFrame, path: str) -> None:
+    """The file of (pos, byte), on the driver's disk; rows pass through the driver partition by partition."""
+    write((bytes([r["byte"]]) for r in found.orderBy("pos").select("byte").toLocalIterator()), path)
+
+
+def index_of_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(pos, byte) of the Burrows-Wheeler text of all reads of FASTA or FASTQ files (gzip too); their repeats count."""
+    from ..operators import index
+    from . import fastx
+
+    reads = None
+    for i, path in enumerate(paths):
+        mine = fastx.read_fastx(spark, path).select(F.concat(F.lit(f"{i:09d}-"), F.lpad(F.col("read_index").cast("string"), 18, "0")).alias("read_id"), "seq")
+        reads = mine if reads is None else reads.unionByName(mine)
+    return index.run_bytes(index.runs(index.bwt(reads)))
+
+
+def reads_of_file(spark: SparkSession, path: str) -> DataFrame:
+    """(read_index, label, seq) of the reads that a run-length file was made of."""
+    from ..operators import index
+
+    text = index.text_of_runs(index.runs_of_bytes(load(spark, path)))
+    return index.reads_of_bwt(text).select(F.col("read").alias("read_index"), F.lit("").alias("label"), "seq")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

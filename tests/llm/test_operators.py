@@ -498,14 +498,30 @@ def test_mixing_model(docs, none, rows):
     one, two = (sum(scores[u][i] for i in held) for u in (mixlm.UNIT, 3))
     assert abs(one / two - 1) < 0.1  # only the order in which the weights are learned differs
     assert mixlm.score_documents(none).count() == 0
-    low, context, name = mixlm.phrases(np.arange(1000).astype(np.uint64))
+    low, context, name = mixlm.phrases(np.arange(1000).astype(np.uint64), np.array([1000]))
     assert low[0] == 0 and (np.diff(low) > 0).all() and context[0] == 0 and (context[1:] == name[:-1]).all()
+    two = mixlm.phrases(np.append(np.arange(700), np.arange(1000)).astype(np.uint64), np.array([700, 1000]))
+    mine = two[0] >= 700
+    assert (two[0][mine] - 700).tolist() == low.tolist() and two[1][mine].tolist() == context.tolist() and two[2][mine].tolist() == name.tolist()
+
+
+def test_cues():
+    words = mixlm.Words()
+    texts = ["the cat of the of house", "la LA la de de", None, "longword other", "b a", "of\x00 x"]
+    code, size = words.slice(texts)
+    want = []
+    for t in texts:
+        short = collections.Counter(w for w in mixlm.tokens(t) if len(w) <= mixlm.SHORT)
+        best = min((w for w in short if short[w] == max(short.values())), default=None)
+        want.append(0 if best is None else 7 * sum(best) % (mixlm.CUES - 1) + 1)
+    assert words.cues(code, size).tolist() == want and size.tolist() == [7, 6, 1, 3, 3, 3]
+    assert [words.names[c] for c in code[:7]] == [b"the", b"cat", b"of", b"the", b"of", b"house", b""]
 
 
 def test_phrases_against_brute_force(spark, docs, rows):
     np = mixlm.np
     hasher = jaccard.WordHasher()
-    each = [mixlm.phrases(hasher([*mixlm.tokens(t), b""])) for _, t, *_ in rows]
+    each = [mixlm.phrases(hasher([*mixlm.tokens(t), b""]), mixlm.np.array([len(mixlm.tokens(t)) + 1])) for _, t, *_ in rows]
     train = [zlib.crc32(str(i).encode()) % 7 != 2 for i, *_ in rows]
     after, hits = collections.Counter(), collections.Counter()
     for (_, c, p), y in zip(each, train):

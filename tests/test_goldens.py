@@ -141,3 +141,84 @@ def test_command_and_stream(spark, tmp_path):
     p = correct.Parameters(ks=(9,))
     correct_stream(spark, str(tmp_path / "in"), fastx.read_fasta(spark, str(short)), str(tmp_path / "to"), str(tmp_path / "cp"), p).awaitTermination(120)
     assert {r.corrected_seq for r in spark.read.parquet(str(tmp_path / "to")).collect()} == {true}
+
+
+def test_fasta_headers_and_line_ends(spark, tmp_path):
+    (tmp_path / "a.fa").write_bytes(b"\n>a->b x\r\nAC\r\nGT\r\n>>c\nGG\n>d\n")
+    (tmp_path / "b.fa").write_bytes(b">>e\nT")
+    got = [(r.label, r.seq) for r in fastx.read_fasta(spark, str(tmp_path / "a.fa")).orderBy("read_index").collect()]
+    assert got == [("a->b x", "ACGT"), (">c", "GG"), ("d", "")]
+    assert sorted((r.label, r.seq) for r in fastx.read_fasta(spark, str(tmp_path)).collect()) == sorted([*got, (">e", "T")])
+
+
+def test_fastq_is_read_by_many_tasks(spark, tmp_path):
+    records = [(f"r{i}", "ACGT" * (i % 5 + 1)) for i in range(400)]
+    for name, part in (("a.fq", records[:250]), ("b.fq", records[250:])):
+        (tmp_path / name).write_text("".join(f"@{n}\n{s}\n+\n{'@' * len(s)}\n" for n, s in part))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        out = fastx.read_fastq(spark, str(tmp_path)).collect()
+        one = fastx.read_fastq(spark, str(tmp_path / "a.fq")).orderBy("read_index").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.label, r.seq) for r in out) == sorted(records) and sorted(r.read_index for r in out) == list(range(400))
+    assert [(r.label, r.seq) for r in one] == records[:250]
+
+
+def test_index_of_files_and_back(spark, tmp_path):
+    import gzip
+
+    reads = ["ACGT", "ACGT", "CCGN", "T"]
+    with gzip.open(tmp_path / "a.fq.gz", "wt") as f:
+        f.write("".join(f"@{i}\n{s}\n+\n{s}\n" for i, s in enumerate(reads[:3])))
+    (tmp_path / "b.fa").write_text(">x\nT\n")
+    assert cli.main(["index", str(tmp_path / "i.npy"), str(tmp_path / "a.fq.gz"), str(tmp_path / "b.fa")], spark) == 0
+    assert sorted(r.seq for r in rle.reads_of_file(spark, str(tmp_path / "i.npy")).collect()) == sorted(reads)
+    table = rle.load(spark, str(tmp_path / "i.npy"))
+    text = "".join(sorted(s + "$" for s in reads))
+    assert sum(r.length for r in index.runs_of_bytes(table).collect()) == len(text)
+
+
+def test_parts_of_a_text_make_the_same_bytes():
+    text = "A" * 70 + "CCG\n" + "G" * 2000 + "T$N"
+    for size in (1, 7, 64, 5000):
+        assert b"".join(rle.encode_parts([text[i : i + size] for i in range(0, len(text), size)])) == rle.encode_text(text)
+
+
+def test_ranges_against_all_suffixes(spark):
+    import random
+
+    draw = random.Random(3)
+    texts = ["".join(draw.choice("ACGT") for _ in range(draw.randrange(0, 40))) for _ in range(12)]
+    suffixes = sorted(t[i:] + "$" for t in texts for i in range(len(t) + 1))
+    asked = ["", "A", "CG", "GTT", "ACGTACG", "T", "$", *{t[:4] for t in texts}]
+    found = index.ranges(index.bwt(reads(spark, texts)), spark.createDataFrame([(a,) for a in asked], "kmer string"))
+    for r in found.collect():
+        places = [i for i, s in enumerate(suffixes) if s.startswith(r.kmer)]
+        assert (r.low, r.high) == (places[0], places[-1] + 1) if places else r.low == r.high, r
+
+
+def test_piles_are_the_same_by_broadcast_and_by_join(spark):
+    import random
+
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("ACGTACGTN") for _ in range(draw.randrange(0, 60))) for _ in range(25)] + ["ACGTACGTACGT" * 3]
+    both = {}
+    for k in (4, 33):
+        for t in texts:
+            for i in range(len(t) - k + 1):
+                for x in (t[i : i + k], t[i : i + k][::-1].translate(str.maketrans("ACGT", "TGCA"))):
+                    both[k, x] = both.get((k, x), 0) + 1
+        rows = spark.createDataFrame(list(enumerate(texts)), "read_id bigint, seq string")
+        counts = kmers.counts_of(rows, k)
+        assert {r.kmer: r.n_both for r in counts.collect()} == {x: n for (kk, x), n in both.items() if kk == k}
+        for most in (kmers.PILE_ROWS, 0):
+            got = {r.read_id: r.counts for r in kmers.piles(rows, counts, k, most=most).collect()}
+            assert got == {i: [both[k, t[j : j + k]] for j in range(len(t) - k + 1)] if len(t) >= k else [0] for i, t in enumerate(texts)}
+
+
+def test_extensions_of_what_never_occurs(spark):
+    table = kmers.extensions(kmers.counts_of(reads(spark, ["AACG"]), 3))
+    asked = spark.createDataFrame([("AA",), ("TT",), ("CG",)], "prefix string")
+    assert {r.prefix: (r.n_a, r.n_c, r.n_g, r.n_t) for r in kmers.around(asked, table).collect()} == {"AA": (0, 1, 0, 0), "TT": (0, 0, 0, 0), "CG": (0, 0, 0, 1)}
