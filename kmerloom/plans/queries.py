@@ -310,7 +310,7 @@ ORACLE = {
       SELECT symbol, n, CAST(sum(n) OVER (ORDER BY i) - n AS BIGINT) AS start, CAST(sum(n) OVER (ORDER BY i) AS BIGINT) AS "end" FROM c""",
     "rank_table": _TINY + " SELECT pos, symbol, row_number() OVER (PARTITION BY symbol ORDER BY pos) - 1 AS rank FROM bwt",
     "bit_ranks": "SELECT event_id AS pos, CAST(event_type = 'click' AS INT) AS bit, CAST(coalesce(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rank FROM events",
-    "backward_search": _TINY + f", {_NAMES}, {_at(3, 'names', 'ask')}, q AS (SELECT DISTINCT kmer FROM ask), at AS (SELECT row_number() OVER (ORDER BY suffix, r) - 1 AS pos, substr(suffix, 1, 3) AS kmer FROM suf) SELECT kmer, min(pos) AS low, max(pos) + 1 AS high FROM q JOIN at USING (kmer) GROUP BY kmer",
+    "backward_search": _TINY + f", {_NAMES}, {_at(3, 'names', 'ask')}, q AS (SELECT DISTINCT kmer FROM ask), places AS (SELECT row_number() OVER (ORDER BY suffix, r) - 1 AS pos, substr(suffix, 1, 3) AS kmer FROM suf) SELECT kmer, min(places.pos) AS low, max(places.pos) + 1 AS high FROM q JOIN places USING (kmer) GROUP BY kmer",
     "reads_of_index": f"SELECT {_DNA.format('p_name')} AS seq, count(*) AS n FROM (SELECT DISTINCT p_name FROM part) GROUP BY 1",
     "range_filter": f"WITH {_READS} SELECT read_id - 100 AS read_index, seq FROM reads WHERE read_id >= 100 AND read_id < 300",
     "fasta_lines": f"WITH {_READS} SELECT read_id AS read_index, '>read' || read_id || chr(10) || seq AS record FROM reads",
