@@ -505,23 +505,23 @@ def test_mixing_model(docs, none, rows):
     assert (two[0][mine] - 700).tolist() == low.tolist() and two[1][mine].tolist() == context.tolist() and two[2][mine].tolist() == name.tolist()
 
 
-def test_cues():
-    words = mixlm.Words()
-    texts = ["the cat of the of house", "la LA la de de", None, "longword other", "b a", "of\x00 x"]
-    code, size = words.slice(texts)
-    want = []
-    for t in texts:
-        short = collections.Counter(w for w in mixlm.tokens(t) if len(w) <= mixlm.SHORT)
-        best = min((w for w in short if short[w] == max(short.values())), default=None)
+def test_slices():
+    texts = ["the cat of the of house", "la LA la de de", None, " longword\x0bother ", "b a", "of\x00 x", "é" + "x" * 200 + " É 𝄞y", "a b"]
+    got = mixlm.Slice(texts)
+    want, words = [], [[*mixlm.tokens(t), b""] for t in texts]
+    for w in words:
+        short = collections.Counter(x for x in w if 0 < len(x) <= mixlm.SHORT)
+        best = min((x for x in short if short[x] == max(short.values())), default=None)
         want.append(0 if best is None else 7 * sum(best) % (mixlm.CUES - 1) + 1)
-    assert words.cues(code, size).tolist() == want and size.tolist() == [7, 6, 1, 3, 3, 3]
-    assert [words.names[c] for c in code[:7]] == [b"the", b"cat", b"of", b"the", b"of", b"house", b""]
+    assert got.cues().tolist() == want and got.size.tolist() == list(map(len, words))
+    flat = [x for w in words for x in w]
+    assert [got.word(i) for i in range(len(flat))] == flat and got.h.tolist() == mixlm.hashes_of(flat).tolist()
+    assert got.doc.tolist() == [i for i, w in enumerate(words) for _ in w] and len(set(got.h.tolist())) == len(set(flat))
 
 
 def test_phrases_against_brute_force(spark, docs, rows):
     np = mixlm.np
-    hasher = jaccard.WordHasher()
-    each = [mixlm.phrases(hasher([*mixlm.tokens(t), b""]), mixlm.np.array([len(mixlm.tokens(t)) + 1])) for _, t, *_ in rows]
+    each = [mixlm.phrases(mixlm.hashes_of([*mixlm.tokens(t), b""]), mixlm.np.array([len(mixlm.tokens(t)) + 1])) for _, t, *_ in rows]
     train = [zlib.crc32(str(i).encode()) % 7 != 2 for i, *_ in rows]
     after, hits = collections.Counter(), collections.Counter()
     for (_, c, p), y in zip(each, train):
