@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir and read from there; a folder of our own only where that is unset."""
+    """df written to spark.checkpoint.dir and read from there; a folder of our own only where that is unset on a local master."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kmerloom-checkpoint-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="kmerloom-checkpoint-"))
     return df.checkpoint(eager=True)
