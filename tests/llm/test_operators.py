@@ -582,6 +582,75 @@ def test_bits_are_normalised():
     assert sum(10**x for x in one.values()) < 1 and 0 < sum(10**x for x in after.values()) < 1
 
 
+def test_weights_are_learned_from_every_training_token(spark):
+    np = mixlm.np
+    draw = random.Random(6)
+    words = sorted({"".join(draw.choice("abcdefgh") for _ in range(draw.randrange(0, 6))) for _ in range(200)})
+    rows = [(w.encode(), q, draw.randrange(0, 4), 5) for w in words for q in (1, 2) if draw.random() < 0.7]
+    pairs = spark.createDataFrame(rows, "word binary, cue bigint, c bigint, n bigint")
+    for most in (4, 10**6):
+        top = mixlm.Beginnings(pairs, most)
+        units = pairs.withColumn("unit", top.unit()).repartition(3, "unit").sortWithinPartitions("unit", "cue", mixlm._closed())
+        mixer = mixlm.learn_mixer(units, mixlm.short_contexts(units, mixlm.SLOTS), top)
+        assert mixer.seen.sum() == sum(c * 8 * (len(w) + 1) for w, _, c, _ in rows)
+        assert mixer.ones.sum() == sum(c * x.bit_count() for w, _, c, _ in rows for x in w + b" ")
+
+
+def test_shared_decisions_against_brute_force(spark):
+    np = mixlm.np
+    draw = random.Random(8)
+    words = sorted({bytes(draw.choice(b"ab\x01\xc3") for _ in range(draw.randrange(0, 9))) for _ in range(120)})
+    rows = [(w, q, draw.randrange(0, 3), 5) for w in words for q in (1, 2) if draw.random() < 0.7]
+    pairs = spark.createDataFrame(rows, "word binary, cue bigint, c bigint, n bigint").coalesce(1)
+    top = mixlm.Beginnings(pairs, 10**6)
+    table = pairs.withColumn("unit", top.unit()).sortWithinPartitions("unit", "cue", mixlm._closed())
+    tables = mixlm.short_contexts(table, mixlm.SLOTS)
+    rows = [(bytes(r.word), r.cue, r.c) for r in table.collect()]
+    words, cue, counts = [w for w, *_ in rows], np.array([q for _, q, _ in rows]), np.array([c for *_, c in rows])
+    bits = ["".join(f"{x:08b}" for x in w + b" ") for w in words]
+    after = collections.Counter()
+    for b, (_, q, c) in zip(bits, rows):
+        for k in range(len(b) + 1):
+            after[None, b[:k]] += c
+            after[q, b[:k]] += c
+
+    def slot(w, q, b, k):
+        past, node, full = int.from_bytes(w[: k // 8], "big"), int("1" + b[k // 8 * 8 : k], 2), (1 << 64) - 1
+        mix = lambda x: int(mixlm.mixed(np.array([x & full], np.uint64))[0])
+        three, five = mix(past & 0xFFFFFF | (q + 1) << 32), mix((past & 0xFFFFFFFFFF) + (1 << 56))
+        return [(past & 255) << 8 | node, mix(three + node) % mixlm.SLOTS[1], mix(five + node) % mixlm.SLOTS[2]]
+
+    def want(i, k, alone):
+        (w, q, c), b = rows[i], bits[i]
+        bit = int(b[k])
+        ones, total, own, own_total = (after[r, b[:k] + e] for r in (None, q) for e in ("1", ""))
+        ones, total, own, own_total = ones - bit * alone, total - alone, own - bit * alone, own_total - alone
+        x = 2 * (ones + 0.05) / (total + 0.1)
+        out = [math.log((ones + 0.05) / (total - ones + 0.05)), math.log((own + x) / (own_total - own + 2 - x))]
+        gone = alone and c == 1
+        for t, s in zip(tables, slot(w, q, b, k)):
+            out.append(math.log((t[s, 1] - gone * bit + 0.1) / (t[s, 0] - gone * (1 - bit) + 0.1)))
+        return bit, min(int(math.log2(total + 1)), mixlm.GATES - 1), [*out, 0.3]
+
+    seen = 0
+    for k, (live, bit, gate, inputs) in enumerate(mixlm.decisions(b"", words, cue, counts, tables, top)):
+        assert live.tolist() == [i for i, b in enumerate(bits) if len(b) > k]
+        for i, *got in zip(live.tolist(), bit.tolist(), gate.tolist(), inputs):
+            y, g, x = want(i, k, 0)
+            assert got[:2] == [y, g] and np.allclose(got[2], x, atol=1e-4)
+        seen += len(live)
+    assert seen == sum(map(len, bits))
+    learned = mixlm.shared_decisions(b"", words, cue, counts, tables, top, True)
+    for k, (_, weight, bit, gate, inputs) in enumerate(learned):
+        mine = [(counts[i], *want(i, k, 1)) for i, b in enumerate(bits) if len(b) > k and counts[i]]
+        assert weight.sum() == sum(c for c, *_ in mine) and (weight * bit).sum() == sum(c * y for c, y, *_ in mine)
+        for g in range(mixlm.GATES):
+            for power in (1, 2):
+                total = sum((c * np.array(x) ** power for c, _, h, x in mine if h == g), np.zeros(mixlm.INPUTS))
+                assert np.allclose((weight[gate == g, None] * inputs[gate == g] ** power).sum(axis=0), total, rtol=1e-4, atol=1e-3)
+    assert k + 1 == max(len(b) for b, c in zip(bits, counts) if c)
+
+
 def test_split_beginnings_change_no_count(spark):
     np = mixlm.np
     draw = random.Random(4)
