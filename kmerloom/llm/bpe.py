@@ -24,9 +24,10 @@ import re
 import string
 import sys
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from hashlib import sha256
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from . import common
@@ -165,8 +166,6 @@ class Encoder:
     """Text to ids. Reads a BPE file with NFC, lower case, split words and byte-level symbols."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -187,12 +186,20 @@ class Encoder:
         self.unprinted = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
         self.markers = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.symbols = byte_symbols()
-        self.library = Tokenizer.from_file(path)
+        #: The file's rules without its vocabulary and merges, which the library would hold once more.
+        self.rules = spec | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}
         self.decoder_spec = spec["decoder"]
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
         self.known: dict[str, tuple[str, int, str]] = {}
         self.before: dict[str, tuple[str, int, str]] = {}
 
+    @cached_property
+    def library(self):
+        """The library's normaliser and splitter, made when a text needs them."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(json.dumps(self.rules))
+
     def lowered(self, text: str) -> str | None:
         """Normalised text; None where it has characters newer than this Python's tables."""
         composed = unicodedata.normalize("NFC", text)
@@ -350,7 +357,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
                 text_sha.update(plain.encode())
                 n += sum([x[1] for x in found])
                 if with_ids:
-                    ids += map(int, part.split())
+                    ids.append(np.array(part.split(" "), np.int32))
                     decoded.append(plain)
             last = decoder.end()
             text_sha.update(last.encode())
@@ -358,7 +365,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
             rows["ids_sha256"].append(ids_sha.hexdigest())
             rows["decoded_sha256"].append(text_sha.hexdigest())
             if with_ids:
-                rows["ids"].append(ids)
+                rows["ids"].append(np.concatenate([np.zeros(0, np.int32), *ids]))
                 rows["decoded"].append("".join(decoded) + last)
         return rows
 

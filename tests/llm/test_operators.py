@@ -674,3 +674,28 @@ def test_split_beginnings_change_no_count(spark):
     assert max(map(len, units[0])) > 3 and max(map(len, units[1])) == 2
     assert set(found[0]) == set(found[1]) and len(found[0]) == len(rows)
     assert all(abs(found[0][k] - found[1][k]) < 1e-6 for k in found[0])
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    before = spark.conf.get(common.BATCH_LIMIT)
+    texts = spark.range(3000, numPartitions=1).selectExpr("id as doc_id", "repeat('some text ', 2000) as text")
+    own = texts.mapInArrow(lambda batches: (b.slice(0, 1).select([]).from_pydict({"size": [b.nbytes]}) for b in batches), "size bigint")
+    try:
+        spark.conf.set(common.BATCH_LIMIT, "64MB")
+        assert bpe.encode_documents(texts.limit(2), with_ids=False).count() == 2
+        assert max(r.size for r in own.collect()) < 1.1 * common.BATCH_BYTES
+        spark.conf.set(common.BATCH_LIMIT, "1MB")
+        common.bound_batches(spark)
+        assert spark.conf.get(common.BATCH_LIMIT) == "1MB"
+    finally:
+        spark.conf.set(common.BATCH_LIMIT, before)
+
+
+def test_encoder_holds_the_vocabulary_once():
+    from tokenizers import Tokenizer
+
+    e, full = bpe.Encoder(bpe.vocabulary_path()), Tokenizer.from_file(bpe.vocabulary_path())
+    assert e.library.get_vocab_size() == 0
+    for t in ["It's \U00011f02b Ok", "x\U0001fae8 3 É", "\U00011f02 <|endoftext|> y"]:
+        assert e.library.normalizer.normalize_str(t) == full.normalizer.normalize_str(t)
+        assert e.encode(t) == full.encode(t, add_special_tokens=False).ids
