@@ -699,3 +699,38 @@ def test_encoder_holds_the_vocabulary_once():
     for t in ["It's \U00011f02b Ok", "x\U0001fae8 3 É", "\U00011f02 <|endoftext|> y"]:
         assert e.library.normalizer.normalize_str(t) == full.normalizer.normalize_str(t)
         assert e.encode(t) == full.encode(t, add_special_tokens=False).ids
+
+
+def test_candidates_stay_in_their_tasks(spark, monkeypatch):
+    """Texts that are all nearly linked: what the walks hand on grows with the texts, not with their pairs."""
+    draw = random.Random(4)
+    base = ["b%d" % i for i in range(200)]
+    texts = []
+    for i in range(90):
+        words = list(base)
+        for k in draw.sample(range(200), 3):
+            words[k] = "c%d_%d" % (i, k)
+        texts.append(words)
+    texts += [[*texts[i][:-1], "d%d" % i] for i in range(0, 90, 9)]
+    sets = [frozenset(tuple(w[k : k + 4]) for k in range(len(w) - 3)) for w in texts]
+    want = list(range(len(sets)))
+    for _ in range(3):
+        for a in range(len(sets)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    want[a] = want[b] = min(want[a], want[b])
+    handed = []
+    for name in ("_possible_pairs", "_links"):
+        monkeypatch.setattr(jaccard, name, lambda pairs, *rest, f=getattr(jaccard, name): handed.append(pairs.count()) or f(pairs, *rest))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    for block in (jaccard.BLOCK, 7):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()} == dict(enumerate(want))
+        assert len(set(want)) > 20 and handed and max(handed) <= 8 * len(texts), handed
+        handed.clear()
+
+
+def test_groups_of_the_same_classes_count_once(spark):
+    heads = spark.createDataFrame([(1, [5, 6, 7, 8]), (2, [5, 6, 7]), (3, [7, 8, 8]), (4, [9])], "node bigint, sigs array<bigint>")
+    found = jaccard._members(common.Scratch(spark), heads, common.HOT).collect()
+    assert sorted((r.sig, r.node, r.g, r.rep) for r in found) == [(5, 1, 2, 1), (5, 2, 2, 1), (7, 1, 3, 1), (7, 2, 3, 1), (7, 3, 3, 1), (8, 1, 2, 1), (8, 3, 2, 1)]
